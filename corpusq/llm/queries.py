@@ -147,11 +147,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUOTED = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
 LICENSES_SQL = rf"""
 WITH t(license, body) AS (VALUES {QUOTED}),
-both AS (
+every_text AS (
   SELECT 't' || license AS k, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM t
   UNION ALL SELECT 'd' || doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') FROM documents
 ), shingles AS (
-  SELECT DISTINCT k, unnest(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM both
+  SELECT DISTINCT k, unnest(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM every_text
 ), size AS (SELECT k, count(*) AS n FROM shingles WHERE k[1] = 't' GROUP BY k
 ), found AS (
   SELECT a.k AS d, b.k AS t, count(*) AS n FROM shingles a JOIN shingles b USING (g) WHERE a.k[1] = 'd' AND b.k[1] = 't' GROUP BY ALL
