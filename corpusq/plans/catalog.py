@@ -2,10 +2,118 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from corpusq.functions import text
+from corpusq.operators import chat, retrieval
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_profile_by_source(spark, sf_dir):
+    d = text.signals(table(spark, sf_dir, "documents"))
+    return d.groupBy("source", "profile").agg(F.count(F.lit(1)).alias("docs"), text.rounded(F.avg("quality_score"), 4).alias("score"))
+
+
+def quality_signals(spark, sf_dir):
+    d = text.signals(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "alpha_ratio", "ocr_noise_ratio", "broken_line_ratio", "header_footer_ratio", "table_density", "code_delimiter_ratio", "avg_sentence_length")
+
+
+def estimate_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens().alias("tokens"))
+
+
+def split(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("v"), "label")
+    return v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "chunk_id")
+
+
+def dense_topk(spark, sf_dir):
+    q, c = split(spark, sf_dir)
+    return retrieval.dense_topk(q, c, 10)
+
+
+def sparse_topk(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return retrieval.sparse_topk(q, table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id"), 10)
+
+
+def retrieval_summary(spark, sf_dir):
+    q, c = split(spark, sf_dir)
+    hits = retrieval.dense_topk(q, c, 10).join(q.select("query_id", F.col("label").alias("ql")), "query_id").join(c.select("chunk_id", "label"), "chunk_id")
+    return retrieval.summary(hits.withColumn("relevant", (F.col("ql") == F.col("label")).cast("int")), 5)
+
+
+def session_stats(spark, sf_dir):
+    return chat.session_stats(table(spark, sf_dir, "conversations"))
+
+
+def last_turns(spark, sf_dir):
+    return chat.last_turns(table(spark, sf_dir, "conversations"), 2)
+
+
+def history_block(spark, sf_dir):
+    return chat.history_block(table(spark, sf_dir, "conversations"))
+
+
+def derive_title(spark, sf_dir):
+    return chat.derive_title(table(spark, sf_dir, "conversations"))
+
+
+def l2_norms(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("vec_id", F.size("embedding").alias("dims"), text.rounded(norm, 6).alias("norm"), (F.abs(norm - 1) > 0.01).alias("off"))
+
+
+QUERIES = (quality_profile_by_source, quality_signals, estimate_tokens, dense_topk, sparse_topk, retrieval_summary, session_stats, last_turns, history_block, derive_title, l2_norms)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
+
+
+def r(x: str, places: int = 4) -> str:
+    return f"floor(({x}) * {10**places} + 0.5::DOUBLE) / {10**places}::DOUBLE"
+
+
+def counted(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+LINE = "(len(list_filter(l, lambda x: regexp_matches(x, '{}'))) / len(l))"
+REPEATED = "|".join(f"{c}{{5,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+SIGNALS = f"""
+s0 AS (SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l, greatest(length(coalesce(text, '')), 1)::DOUBLE AS n,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?。！？]+'), lambda x: regexp_matches(x, '{text.NW}')) AS s FROM documents),
+s1 AS (SELECT doc_id, source, t, {counted("t", text.LETTERS)} / n AS a, {counted("t", text.NOISE)} / n AS o, {LINE.format(text.BROKEN)} AS b, {LINE.format("(?i)" + text.HEADER)} AS h, {LINE.format(text.TABLE)} AS d,
+  {counted("t", REPEATED)} / n AS c, ({counted("t", "[{}\\[]")} + {counted("t", " {4,}")}) / n AS k,
+  CASE WHEN len(s) > 0 THEN {r(f"list_sum(list_transform(s, lambda x: {counted('x', text.NW + '+')})) / len(s)", 2)} ELSE 0 END AS w FROM s0),
+s2 AS (SELECT *, {r("a")} AS alpha_ratio, {r("o")} AS ocr_noise_ratio, {r("b")} AS broken_line_ratio, {r("h")} AS header_footer_ratio, {r("d")} AS table_density, {r("k")} AS code_delimiter_ratio, {r("c")} AS repeated, w AS avg_sentence_length,
+  o > 0.01 OR b > 0.25 OR d > 0.05 OR h > 0.1 OR c > 0.005 OR k > 0.03 OR t = '' AS tagged FROM s1),
+s3 AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, {r("1::DOUBLE - 0.4::DOUBLE * ocr_noise_ratio - 0.15::DOUBLE * broken_line_ratio - 0.1::DOUBLE * header_footer_ratio - CASE WHEN w < 5 THEN 0.1::DOUBLE ELSE 0 END - 0.3::DOUBLE * repeated")})) AS score FROM s2)"""
+DENSE = f"""
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS ql FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 50 <> 0),
+scored AS (SELECT query_id, chunk_id, ql, label, {r("list_cosine_similarity(q.v, c.v)", 6)} AS score FROM q, c),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10)"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    w = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    turns = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= {}"
+    return {
+        "quality_profile_by_source": f"WITH {SIGNALS} SELECT source, CASE WHEN table_density > 0.05 THEN 'table_heavy' WHEN code_delimiter_ratio > 0.03 THEN 'code_mixed' WHEN ocr_noise_ratio > 0.005 OR repeated > 0.002 THEN 'ocr_noisy' WHEN score >= 0.85 AND NOT tagged THEN 'clean_text' ELSE 'general' END AS profile, count(*) AS docs, {r('avg(score)')} AS score FROM s3 GROUP BY ALL",
+        "quality_signals": f"WITH {SIGNALS} SELECT doc_id, alpha_ratio, ocr_noise_ratio, broken_line_ratio, header_footer_ratio, table_density, code_delimiter_ratio, avg_sentence_length FROM s3",
+        "estimate_tokens": "SELECT doc_id, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS tokens FROM documents",
+        "dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, score, rank::INT AS rank FROM hits",
+        "sparse_topk": f"WITH a AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest({w}) AS term FROM benchmark) GROUP BY ALL), b AS (SELECT doc_id AS chunk_id, term, count(*) AS m FROM (SELECT doc_id, unnest({w}) AS term FROM documents) GROUP BY ALL), s AS (SELECT query_id, chunk_id, sum(n * m)::DOUBLE AS score FROM a JOIN b USING (term) GROUP BY ALL) SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10",
+        "retrieval_summary": f"WITH {DENSE}, e AS (SELECT query_id, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / 5 AS p, coalesce(sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN ql = label THEN 1 ELSE 0 END), 0), 0) AS rc, coalesce(1 / min(CASE WHEN rank <= 5 AND ql = label THEN rank END), 0) AS m, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS g FROM hits GROUP BY query_id) SELECT count(*) AS n, {r('avg(p)')} AS precision, {r('avg(rc)')} AS recall, {r('avg(m)')} AS mrr, {r('avg(g)')} AS ndcg FROM e",
+        "session_stats": "SELECT conv_id, count(*) AS message_count, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+        "last_turns": f"SELECT conv_id, turn, role, text FROM ({turns.format(4)})",
+        "history_block": f"SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM ({turns.format(12)}) GROUP BY conv_id",
+        "derive_title": "SELECT conv_id, trim(substr(arg_min(text, turn), 1, 80), ' ') AS title FROM conversations WHERE role = 'user' GROUP BY conv_id",
+        "l2_norms": f"SELECT vec_id, len(embedding)::INT AS dims, {r('sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))', 6)} AS norm, abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 0.01 AS off FROM embeddings",
+    }
