@@ -81,7 +81,7 @@ def signatures(pairs: DataFrame, samples: int = SAMPLES, size: int = SHINGLE) ->
     d = pairs.select("_id", F.col("_next"), F.length("_text").cast("long").alias("_n"), F.sha2("_edited", 256).alias("_sha"), "_text", "_edited")
     for text, name in (("_text", "a"), ("_edited", "b")):
         d = with_weights(with_shingles(d, text, f"_{name}", size), f"_{name}", f"_{name}1", f"_{name}2").drop(text)
-    d = d.withColumn("_reach", F.lit(REACH) / F.least(F.size("_a"), F.size("_b")))
+    d = d.withColumn("_reach", F.lit(REACH) / F.greatest(F.least(F.size("_a"), F.size("_b")), F.lit(1)))
     ones = lambda a, part: F.transform(a, lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("weight"), F.lit(part).alias("part")))
     more = lambda a, part: F.transform(a, lambda x: F.struct(x.term.alias("term"), x.weight.alias("weight"), F.lit(part).alias("part")))
     terms = F.concat(ones(F.array_intersect("_a1", "_b1"), 0), ones(F.array_except("_a1", "_b1"), 1), ones(F.array_except("_b1", "_a1"), 2), more("_a2", 1), more("_b2", 2))
