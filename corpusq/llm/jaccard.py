@@ -300,5 +300,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each class, the one with the smallest id; documents without words all stay."""
-    first = near_duplicates(docs, doc_id, text, **how).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_first")).distinct()
-    return docs.join(first, F.col(doc_id) == F.col("_first"), "left_semi")
+    first = near_duplicates(docs, doc_id, text, **how).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__first")).distinct()
+    return docs.join(first, F.col(doc_id) == F.col("__first"), "left_semi")

@@ -58,13 +58,13 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = line_table(docs, doc_id, text, depth)
     limits = docs.agg(F.count(F.lit(1)).alias("_docs"))
     common = written(recurring(lines, F.greatest(F.lit(min_docs), F.col("_docs") * share), limits, fixed), "recurring-lines")
-    gone = written(lines.select("_id", "_k", "_line").join(common, "_line").groupBy("_id").agg(F.collect_set("_k").alias("_gone")), "dropped-lines")
+    gone = written(lines.select("_id", "_k", "_line").join(common, "_line").groupBy("_id").agg(F.collect_set("_k").alias("__gone")).withColumnRenamed("_id", "__gone_id"), "dropped-lines")
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    d = docs.select(*own).join(gone, F.col(doc_id) == F.col("_id"), "left")
+    d = docs.select(*own).join(gone, F.col(doc_id) == F.col("__gone_id"), "left")
     all_lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    left = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     d = d.withColumn("n_lines", F.coalesce(F.size(F.filter(all_lines, lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
-    d = d.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).withColumn("n_dropped", F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long"))
+    d = d.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).withColumn("n_dropped", F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long"))
     d = d.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
     if "n_chars" in own:
         d = d.withColumn("n_chars", F.length(text).cast("long"))
