@@ -59,6 +59,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     own = docs.select(
         F.col(doc_id).alias("_id"), F.col(source).alias("_s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_n"), *([F.struct(*docs.columns).alias("_row")] if keep else [])
     ).withColumn("_u", unit_hash(F.col("_id"), F.col("_n"), seed=seed))
+    own = own if keep else written(own, "mix-sizes")  # texts are read once
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     sizes = own.groupBy("_s").agg(F.sum("_n").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
