@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import words, written
 
 SAMPLES, SHINGLE = 64, 5
+#: Samples in one aggregate: the code generated for many more is too long to be compiled and is interpreted.
+BLOCK = 16
 #: A sample is above this over the total weight with a probability of exp(-40); it is then left unset.
 REACH = 40.0
 
@@ -33,14 +35,14 @@ def with_weights(df: DataFrame, sorted_hashes: str, once: str, more: str) -> Dat
     return d.withColumn(more, F.zip_with("_from", "_to", lambda a, b: F.struct(at(a).alias("term"), (b - a + 1).cast("double").alias("weight")))).drop("_from", "_to")
 
 
-def sample(term: Column, log_weight: Column, once: Column, reach: Column, k: int) -> Column:
+def sample(term: Column, log_weight: Column, once: Column, reach: Column, k: Column) -> Column:
     """ln a of sample k: r and c from Gamma(2, 1), b uniform, t = floor(ln w / r + b), ln a = ln c - r (t - b + 1).
 
     Equal a means equal term and equal t, so the smallest a stands for the sample. For weight 1, t is 0 and
     a >= (1 - x) y / (y b + 1 - b) with c = -ln x, r = -ln y; where that is out of reach no logarithm is taken.
     """
     two32 = F.lit(float(1 << 32))
-    h = [F.xxhash64(term, F.lit(3 * k + j)) for j in range(3)]
+    h = [F.xxhash64(term, 3 * k + j) for j in range(3)]
     high = lambda x: (F.shiftrightunsigned(x, 32) + F.lit(0.5)) / two32
     low = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / two32
     x, y, b = high(h[0]) * low(h[0]), high(h[1]) * low(h[1]), high(h[2])
@@ -87,10 +89,16 @@ def signatures(pairs: DataFrame, samples: int = SAMPLES, size: int = SHINGLE) ->
     terms = F.concat(ones(F.array_intersect("_a1", "_b1"), 0), ones(F.array_except("_a1", "_b1"), 1), ones(F.array_except("_b1", "_a1"), 2), more("_a2", 1), more("_b2", 2))
     head = ["_id", "_next", "_n", "_sha"]
     rows = d.select(*head, "_reach", F.explode_outer(terms).alias("_t")).select(*head, "_reach", "_t.term", "_t.part", (F.col("_t.weight") == 1.0).alias("once"), F.log("_t.weight").alias("lw"))
-    each = [F.min(sample(F.col("term"), F.col("lw"), F.col("once"), F.col("_reach"), k)).alias(f"s{k}") for k in range(samples)]
-    least = rows.groupBy("_id", "part").agg(*[F.first(c).alias(c) for c in ("_next", "_n")], F.max("_sha").alias("_sha"), *each)
-    both = lambda part: F.array(*[F.min(F.when(F.col("part").isin(0, part), F.col(f"s{k}"))) for k in range(samples)])
-    return least.groupBy("_id").agg(F.max("_next").alias("_next"), F.max("_n").alias("n_chars"), F.max("_sha").alias("edited_sha256"), both(1).alias("_sig"), both(2).alias("_sig_edited"))
+    rows = rows.withColumn("_block", F.explode(F.array(*[F.lit(i) for i in range(-(-samples // BLOCK))])))
+    each = [F.min(sample(F.col("term"), F.col("lw"), F.col("once"), F.col("_reach"), F.col("_block") * BLOCK + k)).alias(f"s{k}") for k in range(BLOCK)]
+    least = rows.groupBy("_id", "part", "_block").agg(*[F.first(c).alias(c) for c in ("_next", "_n")], F.max("_sha").alias("_sha"), *each)
+    blocks = least.select("_id", "part", "_block", "_next", "_n", "_sha", F.array(*[f"s{k}" for k in range(BLOCK)]).alias("_least"))
+    d = blocks.groupBy("_id").agg(*[F.max(c).alias(c) for c in ("_next", "_n", "_sha")], F.collect_list(F.struct("_block", "part", "_least")).alias("_all"))
+    smaller = lambda a, x: F.zip_with(a, x, lambda u, v: F.least(u, v))
+    nothing = F.array_repeat(F.lit(None).cast("double"), BLOCK)
+    of = lambda i, part: F.aggregate(F.filter("_all", lambda x: (x._block == i) & x.part.isin(0, part)), nothing, lambda a, x: smaller(a, x._least))
+    both = lambda part: F.slice(F.flatten(F.array(*[of(i, part) for i in range(-(-samples // BLOCK))])), 1, samples)
+    return d.select("_id", "_next", F.col("_n").alias("n_chars"), F.col("_sha").alias("edited_sha256"), both(1).alias("_sig"), both(2).alias("_sig_edited"))
 
 
 def likeness(a: Column, b: Column) -> Column:
