@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusq.functions import text
-from corpusq.operators import chat, retrieval
+from corpusq.operators import chat, chunking, evaluation, retrieval
 
 
 def table(spark, sf_dir, name):
@@ -69,7 +69,41 @@ def l2_norms(spark, sf_dir):
     return v.select("vec_id", F.size("embedding").alias("dims"), text.rounded(norm, 6).alias("norm"), (F.abs(norm - 1) > 0.01).alias("off"))
 
 
-QUERIES = (quality_profile_by_source, quality_signals, estimate_tokens, dense_topk, sparse_topk, retrieval_summary, session_stats, last_turns, history_block, derive_title, l2_norms)
+def split_sentences(spark, sf_dir):
+    return chunking.sentences(table(spark, sf_dir, "documents"))
+
+
+def pack_chunks(spark, sf_dir):
+    return chunking.pack_chunks(table(spark, sf_dir, "documents"))
+
+
+def latency_percentiles(spark, sf_dir):
+    return evaluation.latency_percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+def latest_status(spark, sf_dir):
+    return evaluation.latest_status(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "value"])
+
+
+def stage_durations(spark, sf_dir):
+    return evaluation.stage_durations(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").drop("ts")
+
+
+def feedback_summary(spark, sf_dir):
+    rated = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return evaluation.feedback_summary(rated, "source", "quality")
+
+
+def build_context(spark, sf_dir):
+    """The ten best documents of each benchmark item by shared terms, as a context block."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), "text")
+    return evaluation.build_context(sparse_topk(spark, sf_dir).join(d, "chunk_id"))
+
+
+QUERIES = (
+    split_sentences, pack_chunks, latency_percentiles, latest_status, stage_durations, feedback_summary, build_context,
+    quality_profile_by_source, quality_signals, estimate_tokens, dense_topk, sparse_topk, retrieval_summary, session_stats, last_turns, history_block, derive_title, l2_norms,
+)
 
 
 def queries() -> dict:
@@ -104,12 +138,24 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 def oracle_sql() -> dict:
     w = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
     turns = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= {}"
+    sparse = f"WITH a AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest({w}) AS term FROM benchmark) GROUP BY ALL), b AS (SELECT doc_id AS chunk_id, term, count(*) AS m FROM (SELECT doc_id, unnest({w}) AS term FROM documents) GROUP BY ALL), s AS (SELECT query_id, chunk_id, sum(n * m)::DOUBLE AS score FROM a JOIN b USING (term) GROUP BY ALL) SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10"
+    last = lambda c: f"arg_max({c}, (ts, event_id)) FILTER ({c} IS NOT NULL) AS {c}"
+    at = lambda p: f"min(CASE WHEN k > floor(n * {p}::DOUBLE) THEN value END) AS p{round(p * 100)}"
     return {
+        "split_sentences": "WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g') AS t FROM documents), "
+        "p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM m) "
+        "SELECT doc_id, unnest(range(len(l)))::INT AS sentence_index, unnest(l) AS sentence FROM p",
+        "latency_percentiles": f"SELECT event_type, max(n) AS n, {at(0.5)}, {at(0.9)}, {at(0.99)} FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type",
+        "latest_status": f"SELECT user_id, {last('event_type')}, {last('value')} FROM events GROUP BY user_id",
+        "stage_durations": "WITH c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) "
+        "SELECT user_id, event_id, event_type, (floor(epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) - floor(epoch(ts)))::BIGINT AS seconds FROM c WHERE was IS NULL OR was <> event_type",
+        "feedback_summary": "SELECT source, count(*) FILTER (quality = 1) AS up, count(*) FILTER (quality = 0) AS down, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+        "build_context": f"SELECT query_id, string_agg('[Source ' || rank || ' | File: ' || coalesce(source, 'unknown') || ']' || chr(10) || CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '...' ELSE coalesce(text, '') END || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ({sparse}) h JOIN documents d ON h.chunk_id = d.doc_id GROUP BY query_id",
         "quality_profile_by_source": f"WITH {SIGNALS} SELECT source, CASE WHEN table_density > 0.05 THEN 'table_heavy' WHEN code_delimiter_ratio > 0.03 THEN 'code_mixed' WHEN ocr_noise_ratio > 0.005 OR repeated > 0.002 THEN 'ocr_noisy' WHEN score >= 0.85 AND NOT tagged THEN 'clean_text' ELSE 'general' END AS profile, count(*) AS docs, {r('avg(score)')} AS score FROM s3 GROUP BY ALL",
         "quality_signals": f"WITH {SIGNALS} SELECT doc_id, alpha_ratio, ocr_noise_ratio, broken_line_ratio, header_footer_ratio, table_density, code_delimiter_ratio, avg_sentence_length FROM s3",
         "estimate_tokens": "SELECT doc_id, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS tokens FROM documents",
         "dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, score, rank::INT AS rank FROM hits",
-        "sparse_topk": f"WITH a AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest({w}) AS term FROM benchmark) GROUP BY ALL), b AS (SELECT doc_id AS chunk_id, term, count(*) AS m FROM (SELECT doc_id, unnest({w}) AS term FROM documents) GROUP BY ALL), s AS (SELECT query_id, chunk_id, sum(n * m)::DOUBLE AS score FROM a JOIN b USING (term) GROUP BY ALL) SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10",
+        "sparse_topk": sparse,
         "retrieval_summary": f"WITH {DENSE}, e AS (SELECT query_id, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / 5 AS p, coalesce(sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN ql = label THEN 1 ELSE 0 END), 0), 0) AS rc, coalesce(1 / min(CASE WHEN rank <= 5 AND ql = label THEN rank END), 0) AS m, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS g FROM hits GROUP BY query_id) SELECT count(*) AS n, {r('avg(p)')} AS precision, {r('avg(rc)')} AS recall, {r('avg(m)')} AS mrr, {r('avg(g)')} AS ndcg FROM e",
         "session_stats": "SELECT conv_id, count(*) AS message_count, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
         "last_turns": f"SELECT conv_id, turn, role, text FROM ({turns.format(4)})",
