@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, words, written
+from .common import SPACE, WORD, written
 
 NUMBER, ANY = "<#>", "<*>"
+#: A word with a digit; looked for only where a word begins, so that long words are read once.
+NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def masked(line: Column) -> Column:
-    """The words of a line; those with a digit become <#>."""
-    return F.transform(words(line), lambda w: F.when(w.rlike("[0-9]"), F.lit(NUMBER)).otherwise(w))
+    """The words of a line with one space between them; those with a digit become <#>. Empty for a line without words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, NUMBERED, NUMBER), SPACE, " "))
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
     """One row per line with a word: id, position, hash of the masked line, leaf (word count and first words),
-    the hash of the lines around it, and the line."""
+    the hash of the lines around it, and the masked line."""
     d = docs.select(F.col(doc_id).alias("_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_all"))
-    d = d.select("_id", F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("k"), x.alias("x"))), lambda s: s.x.rlike(WORD)).alias("_l"))
-    d = d.select("_id", "_l", F.posexplode("_l").alias("_p", "_s"))
-    near = lambda i: F.coalesce(F.get(F.col("_l"), i).x, F.lit(""))
-    d = d.select("_id", F.col("_s.k").alias("_k"), F.xxhash64(near(F.col("_p") - 1), near(F.col("_p") + 1)).alias("_around"), masked(F.col("_s.x")).alias("_w"))
-    return d.select("_id", "_k", "_around", F.xxhash64(F.size("_w"), F.slice("_w", 1, depth)).alias("_leaf"), F.xxhash64("_w").alias("_line"), "_w")
+    d = d.select("_id", F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("k"), F.xxhash64(x).alias("h"), masked(x).alias("m"))), lambda s: s.m != "").alias("_l"))
+    near = lambda i: F.coalesce(F.get(F.col("_l"), i).h, F.lit(0))
+    around = F.transform("_l", lambda s, i: F.struct(s.k.alias("k"), s.m.alias("m"), F.xxhash64(near(i - 1), near(i + 1)).alias("around")))
+    d = d.select("_id", F.explode(around).alias("_s")).select("_id", F.col("_s.k").alias("_k"), F.col("_s.around").alias("_around"), F.col("_s.m").alias("_m"))
+    n_words = F.length("_m") - F.length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
+    return d.select("_id", "_k", "_around", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
 
 
 def recurring(lines: DataFrame, limit: Column, limits: DataFrame, fixed: float) -> DataFrame:
@@ -31,14 +34,16 @@ def recurring(lines: DataFrame, limit: Column, limits: DataFrame, fixed: float)
 
     Copies of a document share the lines around a line too, so (line, lines around it) counts once. A leaf of the
     tree is kept only if it is above the limit itself. There a word is fixed at its position if it is above the
-    limit there, else variable; a template needs a share of `fixed` fixed words, numbers among them.
+    limit there, else variable; a template needs a share of `fixed` fixed words, numbers among them. Lines are
+    counted by their hashes; the words of those in kept leaves alone are shuffled.
     """
     over = lambda df, n: df.crossJoin(F.broadcast(limits)).where(F.col(n) > limit).drop(*limits.columns)  # noqa: E731  one row
-    uses = lines.groupBy("_leaf", "_line", "_around").agg(F.first("_w").alias("_w"))
-    by_line = written(uses.groupBy("_leaf", "_line").agg(F.count(F.lit(1)).alias("_n"), F.first("_w").alias("_w")), "lines")
-    leaves = over(by_line.groupBy("_leaf").agg(F.sum("_n").alias("_all")), "_all").select("_leaf")
-    own = written(by_line.join(leaves, "_leaf"), "leaf-lines")
-    words_at = own.select("_leaf", "_line", "_n", F.posexplode("_w").alias("_pos", "_word"))
+    uses = lines.groupBy("_leaf", "_line", "_around").agg(F.lit(1).alias("_one"))
+    by_line = written(uses.groupBy("_leaf", "_line").agg(F.count(F.lit(1)).alias("_n")), "lines")
+    leaves = written(over(by_line.groupBy("_leaf").agg(F.sum("_n").alias("_all")), "_all").select("_leaf"), "leaves")
+    texts = lines.select("_leaf", "_line", "_m").join(leaves, "_leaf", "left_semi").groupBy("_leaf", "_line").agg(F.max("_m").alias("_m"))
+    own = written(by_line.join(texts, ["_leaf", "_line"]), "leaf-lines")
+    words_at = own.select("_leaf", "_line", "_n", F.posexplode(F.split("_m", " ", -1)).alias("_pos", "_word"))
     fixed_words = over(words_at.groupBy("_leaf", "_pos", "_word").agg(F.sum("_n").alias("_all")), "_all").select("_leaf", "_pos", "_word", F.lit(True).alias("_fixed"))
     parts = words_at.join(fixed_words, ["_leaf", "_pos", "_word"], "left").withColumn("_word", F.when(F.col("_fixed") | (F.col("_word") == NUMBER), F.col("_word")).otherwise(F.lit(ANY)))
     parts = parts.groupBy("_leaf", "_line").agg(F.first("_n").alias("_n"), F.avg(F.when(F.col("_word") == ANY, 0.0).otherwise(1.0)).alias("_share"), F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_word"))), lambda s: s["_word"]).alias("_template"))
