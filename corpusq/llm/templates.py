@@ -44,10 +44,13 @@ def recurring(lines: DataFrame, limit: Column, limits: DataFrame, fixed: float)
     texts = lines.select("_leaf", "_line", "_m").join(leaves, "_leaf", "left_semi").groupBy("_leaf", "_line").agg(F.max("_m").alias("_m"))
     own = written(by_line.join(texts, ["_leaf", "_line"]), "leaf-lines")
     words_at = own.select("_leaf", "_line", "_n", F.posexplode(F.split("_m", " ", -1)).alias("_pos", "_word"))
-    fixed_words = over(words_at.groupBy("_leaf", "_pos", "_word").agg(F.sum("_n").alias("_all")), "_all").select("_leaf", "_pos", "_word", F.lit(True).alias("_fixed"))
-    parts = words_at.join(fixed_words, ["_leaf", "_pos", "_word"], "left").withColumn("_word", F.when(F.col("_fixed") | (F.col("_word") == NUMBER), F.col("_word")).otherwise(F.lit(ANY)))
-    parts = parts.groupBy("_leaf", "_line").agg(F.first("_n").alias("_n"), F.avg(F.when(F.col("_word") == ANY, 0.0).otherwise(1.0)).alias("_share"), F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_word"))), lambda s: s["_word"]).alias("_template"))
-    made = written(parts.where(F.col("_share") >= fixed).select("_leaf", "_line", "_n", F.array_join("_template", " ").alias("_template")), "templates")
+    fixed_words = over(words_at.groupBy("_leaf", "_pos", "_word").agg(F.sum("_n").alias("_all")), "_all").select("_leaf", "_pos", "_word")
+    # per leaf: a position has at most (lines of the leaf / limit) fixed words, which does not grow with the documents
+    per_leaf = fixed_words.groupBy("_leaf").agg(F.collect_set(F.concat_ws(" ", "_pos", "_word")).alias("_fixed"))
+    template = F.transform(F.split("_m", " ", -1), lambda w, i: F.when(F.array_contains("_fixed", F.concat_ws(" ", i, w)) | (w == NUMBER), w).otherwise(F.lit(ANY)))
+    parts = own.join(per_leaf, "_leaf", "left").select("_leaf", "_line", "_n", template.alias("_template"))
+    parts = parts.where(F.size(F.filter("_template", lambda w: w != ANY)) / F.size("_template") >= fixed)
+    made = written(parts.select("_leaf", "_line", "_n", F.array_join("_template", " ").alias("_template")), "templates")
     top = over(made.groupBy("_leaf", "_template").agg(F.sum("_n").alias("_all")), "_all")
     return made.join(top, ["_leaf", "_template"]).select("_line").distinct()
 
@@ -60,7 +63,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the other lines stay as they are. Null text: null, no lines. Rows that share an id count as one document, so
     that positions dropped in one go from all. Empty table: empty result.
     """
-    lines = line_table(docs, doc_id, text, depth)
+    lines = written(line_table(docs, doc_id, text, depth), "line-table")
     limits = docs.agg(F.count(F.lit(1)).alias("_docs"))
     common = written(recurring(lines, F.greatest(F.lit(min_docs), F.col("_docs") * share), limits, fixed), "recurring-lines")
     gone = written(lines.select("_id", "_k", "_line").join(common, "_line").groupBy("_id").agg(F.collect_set("_k").alias("__gone")).withColumnRenamed("_id", "__gone_id"), "dropped-lines")
