@@ -29,7 +29,7 @@ def line_table(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame
     return d.select("_id", "_k", "_around", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
 
 
-def recurring(lines: DataFrame, limit: Column, limits: DataFrame, fixed: float) -> DataFrame:
+def recurring(lines: DataFrame, limit: Column, limits: DataFrame, depth: int, fixed: float) -> DataFrame:
     """(_line) of the masked lines whose template recurs in more documents than the limit.
 
     Copies of a document share the lines around a line too, so (line, lines around it) counts once. A leaf of the
@@ -43,11 +43,13 @@ def recurring(lines: DataFrame, limit: Column, limits: DataFrame, fixed: float)
     leaves = written(over(by_line.groupBy("_leaf").agg(F.sum("_n").alias("_all")), "_all").select("_leaf"), "leaves")
     texts = lines.select("_leaf", "_line", "_m").join(leaves, "_leaf", "left_semi").groupBy("_leaf", "_line").agg(F.max("_m").alias("_m"))
     own = written(by_line.join(texts, ["_leaf", "_line"]), "leaf-lines")
-    words_at = own.select("_leaf", "_line", "_n", F.posexplode(F.split("_m", " ", -1)).alias("_pos", "_word"))
+    # the first words are those of the leaf, above the limit with it: fixed
+    rest = F.slice(F.split("_m", " ", -1), F.lit(depth + 1), F.size(F.split("_m", " ", -1)))
+    words_at = own.select("_leaf", "_n", F.posexplode(rest).alias("_pos", "_word")).withColumn("_pos", F.col("_pos") + depth)
     fixed_words = over(words_at.groupBy("_leaf", "_pos", "_word").agg(F.sum("_n").alias("_all")), "_all").select("_leaf", "_pos", "_word")
     # per leaf: a position has at most (lines of the leaf / limit) fixed words, which does not grow with the documents
     per_leaf = fixed_words.groupBy("_leaf").agg(F.collect_set(F.concat_ws(" ", "_pos", "_word")).alias("_fixed"))
-    template = F.transform(F.split("_m", " ", -1), lambda w, i: F.when(F.array_contains("_fixed", F.concat_ws(" ", i, w)) | (w == NUMBER), w).otherwise(F.lit(ANY)))
+    template = F.transform(F.split("_m", " ", -1), lambda w, i: F.when((i < depth) | F.array_contains("_fixed", F.concat_ws(" ", i, w)) | (w == NUMBER), w).otherwise(F.lit(ANY)))
     parts = own.join(per_leaf, "_leaf", "left").select("_leaf", "_line", "_n", template.alias("_template"))
     parts = parts.where(F.size(F.filter("_template", lambda w: w != ANY)) / F.size("_template") >= fixed)
     made = written(parts.select("_leaf", "_line", "_n", F.array_join("_template", " ").alias("_template")), "templates")
@@ -65,7 +67,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     lines = written(line_table(docs, doc_id, text, depth), "line-table")
     limits = docs.agg(F.count(F.lit(1)).alias("_docs"))
-    common = written(recurring(lines, F.greatest(F.lit(min_docs), F.col("_docs") * share), limits, fixed), "recurring-lines")
+    common = written(recurring(lines, F.greatest(F.lit(min_docs), F.col("_docs") * share), limits, depth, fixed), "recurring-lines")
     gone = written(lines.select("_id", "_k", "_line").join(common, "_line").groupBy("_id").agg(F.collect_set("_k").alias("__gone")).withColumnRenamed("_id", "__gone_id"), "dropped-lines")
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d = docs.select(*own).join(gone, F.col(doc_id) == F.col("__gone_id"), "left")
