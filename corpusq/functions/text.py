@@ -61,3 +61,17 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def estimate_tokens(text: str = "text") -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 4)).cast("long")
+
+
+def truncate(text: Column, n: int, suffix: str = "...") -> Column:
+    """The first n characters, with the suffix if there are more."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(suffix))).otherwise(text)
+
+
+def human_size(n: Column) -> Column:
+    """Bytes as B, KB and MB with one place, GB with two; a dash for null."""
+    scaled = lambda k, places: F.format_string(f"%.{places}f", rounded(n / float(1024**k), places))
+    return (
+        F.when(n.isNull(), "—").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(scaled(1, 1), F.lit(" KB")))
+        .when(n < 1024**3, F.concat(scaled(2, 1), F.lit(" MB"))).otherwise(F.concat(scaled(3, 2), F.lit(" GB")))
+    )

@@ -34,6 +34,12 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top(s, k)
 
 
+def shared_terms_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """How many different terms a query and a chunk share."""
+    s = terms(queries, "query_id").join(terms(corpus, "chunk_id").drop("weight"), "term")
+    return top(s.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)
+
+
 def rrf_fuse(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     all_lists = lists[0].select("query_id", "chunk_id", "rank")
     for x in lists[1:]:

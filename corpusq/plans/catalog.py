@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import text
 from corpusq.operators import chat, chunking, evaluation, retrieval
+from corpusq.sources import tables
 
 
 def table(spark, sf_dir, name):
@@ -100,7 +101,46 @@ def build_context(spark, sf_dir):
     return evaluation.build_context(sparse_topk(spark, sf_dir).join(d, "chunk_id"))
 
 
+def upsert_chunks(spark, sf_dir):
+    """Documents with a label come again with it; the newer version of each stays."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(0).alias("version"))
+    again = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("version"), "quality")
+    return tables.upsert(d, again, "doc_id", "version").select("doc_id", "source", "version", "quality")
+
+
+def delete_chunks(spark, sf_dir):
+    return tables.delete_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select("doc_id", "source")
+
+
+def collection_info(spark, sf_dir):
+    return tables.collection_info(table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+def dataset_bytes(spark, sf_dir):
+    d = tables.dataset_bytes(table(spark, sf_dir, "documents"), "source", "text", "doc_id")
+    return d.withColumn("size", text.human_size(F.col("bytes")))
+
+
+def profile_columns(spark, sf_dir):
+    return tables.profile_columns(table(spark, sf_dir, "documents"))
+
+
+def truncate_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 600).alias("text"))
+
+
+def minmax_scores(spark, sf_dir):
+    return retrieval.minmax(sparse_topk(spark, sf_dir)).select("query_id", "chunk_id", "score", "normalized")
+
+
+def rrf_fusion(spark, sf_dir):
+    """Two lists of each benchmark item: by weights of shared terms, and by how many terms are shared."""
+    q, d = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.rrf_fuse([retrieval.sparse_topk(q, d, 10), retrieval.shared_terms_topk(q, d, 10)], 10)
+
+
 QUERIES = (
+    upsert_chunks, delete_chunks, collection_info, dataset_bytes, profile_columns, truncate_text, minmax_scores, rrf_fusion,
     split_sentences, pack_chunks, latency_percentiles, latest_status, stage_durations, feedback_summary, build_context,
     quality_profile_by_source, quality_signals, estimate_tokens, dense_topk, sparse_topk, retrieval_summary, session_stats, last_turns, history_block, derive_title, l2_norms,
 )
@@ -141,7 +181,19 @@ def oracle_sql() -> dict:
     sparse = f"WITH a AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest({w}) AS term FROM benchmark) GROUP BY ALL), b AS (SELECT doc_id AS chunk_id, term, count(*) AS m FROM (SELECT doc_id, unnest({w}) AS term FROM documents) GROUP BY ALL), s AS (SELECT query_id, chunk_id, sum(n * m)::DOUBLE AS score FROM a JOIN b USING (term) GROUP BY ALL) SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10"
     last = lambda c: f"arg_max({c}, (ts, event_id)) FILTER ({c} IS NOT NULL) AS {c}"
     at = lambda p: f"min(CASE WHEN k > floor(n * {p}::DOUBLE) THEN value END) AS p{round(p * 100)}"
+    shared = sparse.replace("sum(n * m)::DOUBLE", "count(*)::DOUBLE")
+    size = lambda k, p, unit: f"printf('%.{p}f', {r(f'bytes / {1024**k}::DOUBLE', p)}) || ' {unit}'"
+    profiled = [("doc_id", "numeric"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "numeric")]
     return {
+        "upsert_chunks": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN d.source END AS source, (l.doc_id IS NOT NULL)::INT AS version, l.quality FROM documents d FULL JOIN labels l USING (doc_id)",
+        "delete_chunks": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "collection_info": "SELECT label, count(*) AS points, count(embedding) AS vectors, CASE WHEN count(embedding) > 0 THEN 'green' ELSE 'empty' END AS status FROM embeddings GROUP BY label",
+        "dataset_bytes": f"SELECT *, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < {1024**2} THEN {size(1, 1, 'KB')} WHEN bytes < {1024**3} THEN {size(2, 1, 'MB')} ELSE {size(3, 2, 'GB')} END AS size "
+        "FROM (SELECT source, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS bytes, max(doc_id) AS last_update FROM documents GROUP BY source)",
+        "profile_columns": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS kind, count(*) FILTER ({c} IS NULL) AS n_nulls, {r(f'avg(length({c}))') if k == 'string' else 'NULL::DOUBLE'} AS mean_length FROM documents" for c, k in profiled),
+        "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '...' ELSE text END AS text FROM documents",
+        "minmax_scores": f"SELECT query_id, chunk_id, score, CASE WHEN hi = lo THEN 0.5 ELSE {r('(score - lo) / (hi - lo)', 6)} END AS normalized FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM ({sparse}))",
+        "rrf_fusion": f"SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {r('sum(1 / (60 + rank))', 6)} AS score FROM (SELECT * FROM ({sparse}) UNION ALL SELECT * FROM ({shared})) GROUP BY ALL)) WHERE rank <= 10",
         "split_sentences": "WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g') AS t FROM documents), "
         "p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM m) "
         "SELECT doc_id, unnest(range(len(l)))::INT AS sentence_index, unnest(l) AS sentence FROM p",
