@@ -299,6 +299,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each class, the one with the smallest id; documents without words all stay."""
-    first = near_duplicates(docs, doc_id, text, **how).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__first")).distinct()
-    return docs.join(first, F.col(doc_id) == F.col("__first"), "left_semi")
+    """One row of each class of near duplicates, the one with the smallest id (null ids come last; of equal ids the
+    smallest hash of the text, then any one). Rows without words all stay.
+
+    Rows are told apart by a key of their own, so rows that share an id or have none are members like others.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    named = near_duplicates(rows, "__row", text, **how).select("__row", F.col("component_id").alias("__class"))
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col("__row").alias("row"))
+    first = rows.select("__row", order.alias("__order")).join(named, "__row").groupBy("__class").agg(F.min("__order").alias("__first"))
+    return rows.join(first.select(F.col("__first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
