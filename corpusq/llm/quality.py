@@ -43,19 +43,15 @@ def normal_line(line: Column) -> Column:
 
 
 def line_rows(df: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per document and distinct normalised line with a word: host, line hash, hash of the lines
-    around it where it first stands, and how many words the document has in it."""
+    """One row per line with a word: id, host, hash of the normalised line, and how many words are in it."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
-    d = df.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n"))).alias("_l"))
-    d = d.select("_id", "_host", "_l", F.posexplode("_l").alias("_k", "_x"))
-    h = lambda i: F.get(F.col("_l"), i).h
-    return d.select("_id", "_host", F.col("_x.h").alias("_line"), F.col("_x.n").cast("long").alias("_n"), F.xxhash64(F.coalesce(h(F.col("_k") - 1), F.lit(0)), F.coalesce(h(F.col("_k") + 1), F.lit(0))).alias("_around"))
+    d = df.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.explode(F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))).alias("_x"))
+    return d.select("_id", "_host", F.col("_x.h").alias("_line"), F.col("_x.n").cast("long").alias("_n"))
 
 
 def common_lines(rows: DataFrame, host_docs: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """Lines of a host in more documents than both limits. Documents with the same lines before and after are
-    copies of each other there and count once."""
-    per = rows.groupBy("_host", "_line", "_around").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
+    """Lines of a host in more documents, told apart by id, than both limits. Null ids count as one document."""
+    per = rows.groupBy("_host", "_line", "_id").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
     limits = host_docs.select(F.col("_host").alias("_h"), (F.col("_all") * share).alias("_limit"))
     return per.join(limits, F.col("_host").eqNullSafe(F.col("_h"))).where(F.col("_docs") > F.col("_limit")).select("_host", "_line", "_docs")
 
@@ -74,7 +70,8 @@ def quality_rules(
     """Base counts and the verdict of cross-document line frequency, one row per document.
 
     Lines are normalised and hashed; a line in more than `min_docs` documents and more than `share` of the
-    documents of its host (null is a host too) is above the limit and goes. A document that loses more than
+    documents of its host (null is a host too) is above the limit and goes. A document counts once for a line,
+    however often it has it; copies under other ids are documents too. A document that loses more than
     `max_removed` of its words that way is depleted. kept is false for the depleted and for those that fail
     the base rules: fewer than `min_words` words, or more than `max_repeat_percent` % of words in repeated
     three-word windows. removed_lines holds the hashes of the lines that go from the document.

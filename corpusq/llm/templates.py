@@ -19,42 +19,51 @@ def masked(line: Column) -> Column:
 
 def line_table(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
     """One row per line with a word: id, position, hash of the masked line, leaf (word count and first words),
-    the hash of the lines around it, and the masked line."""
+    and the masked line."""
     d = docs.select(F.col(doc_id).alias("_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_all"))
-    d = d.select("_id", F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("k"), F.xxhash64(x).alias("h"), masked(x).alias("m"))), lambda s: s.m != "").alias("_l"))
-    near = lambda i: F.coalesce(F.get(F.col("_l"), i).h, F.lit(0))
-    around = F.transform("_l", lambda s, i: F.struct(s.k.alias("k"), s.m.alias("m"), F.xxhash64(near(i - 1), near(i + 1)).alias("around")))
-    d = d.select("_id", F.explode(around).alias("_s")).select("_id", F.col("_s.k").alias("_k"), F.col("_s.around").alias("_around"), F.col("_s.m").alias("_m"))
+    d = d.select("_id", F.explode(F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("k"), masked(x).alias("m"))), lambda s: s.m != "")).alias("_s"))
+    d = d.select("_id", F.col("_s.k").alias("_k"), F.col("_s.m").alias("_m"))
     n_words = F.length("_m") - F.length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
-    return d.select("_id", "_k", "_around", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
+    return d.select("_id", "_k", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
 
 
 def recurring(lines: DataFrame, limit: Column, limits: DataFrame, depth: int, fixed: float) -> DataFrame:
     """(_line) of the masked lines whose template recurs in more documents than the limit.
 
-    Copies of a document share the lines around a line too, so (line, lines around it) counts once. A leaf of the
-    tree is kept only if it is above the limit itself. There a word is fixed at its position if it is above the
-    limit there, else variable; a template needs a share of `fixed` fixed words, numbers among them. Lines are
-    counted by their hashes; the words of those in kept leaves alone are shuffled.
+    A document, told by its id, counts once for a line, leaf, word or template, however many of its lines have it. A
+    leaf of the tree is kept only if it is above the limit itself. There a word is fixed at its position if it is
+    above the limit there, else variable; a template needs a share of `fixed` fixed words, numbers among them. Lines
+    are counted by their hashes; the words of those in kept leaves alone are shuffled.
     """
     over = lambda df, n: df.crossJoin(F.broadcast(limits)).where(F.col(n) > limit).drop(*limits.columns)  # noqa: E731  one row
-    uses = lines.groupBy("_leaf", "_line", "_around").agg(F.lit(1).alias("_one"))
+    uses = written(lines.select("_leaf", "_line", "_id").distinct(), "uses")
     by_line = written(uses.groupBy("_leaf", "_line").agg(F.count(F.lit(1)).alias("_n")), "lines")
-    leaves = written(over(by_line.groupBy("_leaf").agg(F.sum("_n").alias("_all")), "_all").select("_leaf"), "leaves")
+
+    def above(keyed: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """The keys that more documents have than the limit, of rows (keys, _leaf, _line, _n). A key's documents are
+        as many as those of its commonest line at least and of all its lines at most; only where the limit
+        lies between are documents met and counted."""
+        may = written(over(keyed.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most")), "_all"), name)
+        sure = over(may, "_most").select(*keys)
+        open_ = may.crossJoin(F.broadcast(limits)).where(F.col("_most") <= limit).select(*keys)
+        met = keyed.join(open_, keys, "left_semi").select(*dict.fromkeys([*keys, "_leaf", "_line"])).join(uses, ["_leaf", "_line"])
+        counts = met.groupBy(*keys, "_id").agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+        return sure.unionByName(over(counts, "_all").select(*keys))
+
+    leaves = written(above(by_line, ["_leaf"], "may-leaves"), "leaves")
     texts = lines.select("_leaf", "_line", "_m").join(leaves, "_leaf", "left_semi").groupBy("_leaf", "_line").agg(F.max("_m").alias("_m"))
     own = written(by_line.join(texts, ["_leaf", "_line"]), "leaf-lines")
     # the first words are those of the leaf, above the limit with it: fixed
     rest = F.slice(F.split("_m", " ", -1), F.lit(depth + 1), F.size(F.split("_m", " ", -1)))
-    words_at = own.select("_leaf", "_n", F.posexplode(rest).alias("_pos", "_word")).withColumn("_pos", F.col("_pos") + depth)
-    fixed_words = over(words_at.groupBy("_leaf", "_pos", "_word").agg(F.sum("_n").alias("_all")), "_all").select("_leaf", "_pos", "_word")
+    words_at = own.select("_leaf", "_line", "_n", F.posexplode(rest).alias("_pos", "_word")).withColumn("_pos", F.col("_pos") + depth)
+    fixed_words = above(words_at, ["_leaf", "_pos", "_word"], "may-words")
     # per leaf: a position has at most (lines of the leaf / limit) fixed words, which does not grow with the documents
     per_leaf = fixed_words.groupBy("_leaf").agg(F.collect_set(F.concat_ws(" ", "_pos", "_word")).alias("_fixed"))
     template = F.transform(F.split("_m", " ", -1), lambda w, i: F.when((i < depth) | F.array_contains("_fixed", F.concat_ws(" ", i, w)) | (w == NUMBER), w).otherwise(F.lit(ANY)))
     parts = own.join(per_leaf, "_leaf", "left").select("_leaf", "_line", "_n", template.alias("_template"))
     parts = parts.where(F.size(F.filter("_template", lambda w: w != ANY)) / F.size("_template") >= fixed)
     made = written(parts.select("_leaf", "_line", "_n", F.array_join("_template", " ").alias("_template")), "templates")
-    top = over(made.groupBy("_leaf", "_template").agg(F.sum("_n").alias("_all")), "_all")
-    return made.join(top, ["_leaf", "_template"]).select("_line").distinct()
+    return made.join(above(made, ["_leaf", "_template"], "may-templates"), ["_leaf", "_template"]).select("_line").distinct()
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 2, fixed: float = 0.75, min_docs: int = 10, share: float = 0.001) -> DataFrame:
