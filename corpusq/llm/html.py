@@ -35,8 +35,8 @@ NOISE_NAMES = frozenset(
 )
 HEADER_NAMES = frozenset("header masthead topbar".split())
 MIN_PAGES, LOW, GAMMA = 5, 0.3, 0.9
-#: A single text is cut only if nearly all pages that have its node have it: articles may quote a common line.
-LOW_TEXT = 0.1
+#: A single text is cut only if this share of the pages that have its node have it: articles may quote a common line.
+TEXT_SHARE = 0.9
 
 
 @dataclass
@@ -146,21 +146,29 @@ def host_of(url: Column) -> Column:
 
 
 def site_nodes(pages: DataFrame) -> DataFrame:
-    """_host, _html -> one row per page and node of its tree: host, path, what stands there, and whether that is
-    a sequence of children (presentation) or a block's text (content)."""
+    """_host, _html, _copies -> one row per page and node of its tree: host, path, what stands there, whether that is
+    a sequence of children (presentation) or a block's text (content), and how many pages of the host are the same."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for host, page, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 texts, styles = blocks(page)
                 rows = {(signed(p), False, signed("|".join(s))) for p, s in styles.items()} | {(signed(p), True, signed(t)) for t, p, _, _ in texts}
                 for path, content, what in rows:
-                    for to, x in zip(out, (host, path, content, what), strict=True):
+                    for to, x in zip(out, (host, path, content, what, copies), strict=True):
                         to.append(x)
-            yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64())], names=["host", "path", "content", "what"])
+            yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], names=["host", "path", "content", "what", "copies"])
 
-    return pages.select("_host", "_html").mapInArrow(parse, "host string, path long, content boolean, what long")
+    return pages.select("_host", "_html", "_copies").mapInArrow(parse, "host string, path long, content boolean, what long, copies long")
+
+
+def with_copies(pages: DataFrame) -> DataFrame:
+    """_host, _html -> with _copies, how many pages of the host have that html. Only hashes are shuffled; the pages
+    stay where they are read unless the list of repeated hashes is too large to broadcast."""
+    p = pages.withColumn("_sha", F.sha2("_html", 256))
+    many = written(p.groupBy("_host", "_sha").agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1), "copies")
+    return p.join(many, ["_host", "_sha"], "left").select("_host", "_html", F.coalesce("_copies", F.lit(1)).cast("long").alias("_copies"))
 
 
 def low_nodes(nodes: DataFrame, min_pages: int, low: float, gamma: float) -> DataFrame:
@@ -168,21 +176,21 @@ def low_nodes(nodes: DataFrame, min_pages: int, low: float, gamma: float) -> Dat
 
     With m pages that have the node, presentation importance is the entropy of its child sequences to base m; that
     of a text is 1 - log_m(pages that have it), the entropy of its spread over the pages; a node's is the mean
-    over its texts. The node's composite importance is (1 - gamma) presentation + gamma content.
+    over its texts. The node's composite importance is (1 - gamma) presentation + gamma content. Pages of a host
+    with the same html are one page: each counts as its part of it, and sums are rounded to whole pages.
     """
-    share = F.col("n") / F.col("m")
-    counts = nodes.groupBy("host", "path", "content", "what").agg(F.count(F.lit(1)).alias("n"))
+    counts = nodes.groupBy("host", "path", "content", "what").agg(F.round(F.sum(1 / F.col("copies"))).cast("long").alias("n"))
     style = counts.where(~F.col("content")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     style = style.where(F.col("m") >= min_pages).select("host", "path", "m", ((F.log("m") - F.col("s") / F.col("m")) / F.log("m")).alias("presentation"))
     texts = counts.where("content").join(style, ["host", "path"]).withColumn("importance", 1 - F.log(F.least("n", "m")) / F.log("m"))
     node = texts.groupBy("host", "path").agg(F.first("presentation").alias("presentation"), (F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content"))
     paths = node.where((1 - gamma) * F.col("presentation") + gamma * F.col("content") < low).select("host", F.col("path").alias("key"))
-    own = texts.where((F.col("importance") < LOW_TEXT) & (F.col("n") >= min_pages)).select("host", F.col("path").bitwiseXOR(F.col("what")).alias("key"))
+    own = texts.where((F.col("n") >= TEXT_SHARE * F.col("m")) & (F.col("n") >= min_pages)).select("host", F.col("path").bitwiseXOR(F.col("what")).alias("key"))
     return paths.unionByName(own).groupBy("host").agg(F.collect_set("key").alias("low"))
 
 
 def main_text(page: str, low: set[int]) -> str:
-    kept = [b for b in blocks(page)[0] if not low or signed(b[1]) not in low and signed(b[1]) ^ signed(b[0]) not in low]
+    kept = [b for b in blocks(page)[0] if not low or (b[3] or signed(b[1]) not in low) and signed(b[1]) ^ signed(b[0]) not in low]
     if any(b[3] for b in kept):
         kept = [b for b in kept if b[3]]
     return "\n".join(b[0] for b in kept)
@@ -191,9 +199,10 @@ def main_text(page: str, low: set[int]) -> str:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, low: float = LOW, gamma: float = GAMMA) -> DataFrame:
     """The main text of each page: page_id, url, text, n_chars.
 
-    The pages of a host are merged into one style tree, of paths of tags and classes. Branches whose composite
-    importance is below `low` are cut from each page, and so are texts that nearly all pages of the host have at
-    their path; both need `min_pages` pages. What is no article by its kind (menus, forms, scripts, adverts and so on, by
+    The pages of a host are merged into one style tree, of paths of tags and classes; pages with the same html are one
+    page there. Branches outside article and main elements whose composite importance is below `low` are cut from
+    each page, and so are texts that nine in ten of the pages with their path have there, wherever they stand; both
+    need `min_pages` different pages. What is no article by its kind (menus, forms, scripts, adverts and so on, by
     tag, role or class) is cut first. If something stands in an article or main element, only that is the
     main text. Blocks are joined by a line feed, white space inside them is one space.
 
@@ -202,7 +211,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     included. Empty table: empty result.
     """
     p = pages.select(F.col(page_id).alias("_page"), F.col(url).alias("_url"), host_of(F.col(url)).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    cut = written(low_nodes(site_nodes(p), min_pages, low, gamma), "low-nodes")
+    cut = written(low_nodes(site_nodes(with_copies(p)), min_pages, low, gamma), "low-nodes")
     d = p.join(cut, F.col("_host") == F.col("host"), "left").select("_page", "_url", "_html", "low")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
 
