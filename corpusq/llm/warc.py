@@ -22,6 +22,15 @@ GZIP = 16 + zlib.MAX_WBITS
 LINES_PER_BLOCK = 256
 
 
+def escaped(url: Column) -> Column:
+    """The URL as archives hold it: characters below a space as % and their code."""
+    text = url.cast("string")
+    out = text
+    for i in range(32):
+        out = F.replace(out, F.lit(chr(i)), F.lit(f"%{i:02X}"))
+    return F.when(text.rlike(r"[\x00-\x1f]"), out).otherwise(text)
+
+
 def url_key(url: Column) -> Column:
     """The sort key of a URL: host labels in reverse, then port, path and query; lower case, without scheme,
     fragment, user and leading www. Null and hostless URLs give their own text after a "-"."""
@@ -46,11 +55,11 @@ def record_name(page_id) -> str:
 
 
 def record(page_id, url: str | None, html: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record as a gzip member."""
+    """One WARC record as a gzip member; the URL is escaped."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
     block = http if refers_to is not None else http + html
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
-    head += [f"WARC-Target-URI: {re.sub(r'[\x00-\x1f]', lambda m: f'%{ord(m[0]):02X}', url)}"] if url is not None else []
+    head += [f"WARC-Target-URI: {url}"] if url is not None else []
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
@@ -67,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     list of revisits is too large to broadcast.
     """
     copies = written(duplicates(pages, page_id, html, least), "revisits")
-    own = pages.select(F.col(page_id).alias("_page"), F.col(url).cast("string").alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"), F.sha2(F.coalesce(F.col(html), F.lit("")), 256).alias("_sha"))
+    own = pages.select(F.col(page_id).alias("_page"), escaped(F.col(url)).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"), F.sha2(F.coalesce(F.col(html), F.lit("")), 256).alias("_sha"))
     own = own.join(copies, F.col("_page") == F.col("_id"), "left").select("_page", "_url", "_html", "_sha", "_first")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +230,7 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "u
     write_archives(pages, f"{path}/archives", page_id, url, html, least)
     caps = written(captures(spark, f"{path}/archives"), "captures")
     write_index(caps, f"{path}/index")
-    wanted = pages.select(F.concat_ws(" ", url_key(F.regexp_replace(F.col(url).cast("string"), r"[\x00-\x1f]", "%20")), F.coalesce(F.lpad(F.col(page_id).cast("string"), 20, "0"), F.lit("-"))).alias("key"))
+    wanted = pages.select(F.concat_ws(" ", url_key(escaped(F.col(url))), F.coalesce(F.lpad(F.col(page_id).cast("string"), 20, "0"), F.lit("-"))).alias("key"))
     found = read_ranges(spark, f"{path}/archives", lookup(spark, f"{path}/index", wanted).select("file", "at", "n").distinct())
     kind = pages.schema[page_id].dataType
     digest = F.when(F.col("type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
