@@ -44,10 +44,12 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> It
 
     An anchor is a gram whose hash is the smallest of all grams of some string of `length` bytes around it. Equal
     strings have equal anchors, so each string that stands twice holds an anchor that stands twice as well. The
-    context is what such strings can reach: `length` - `gram` bytes before and `length` bytes from its start.
+    context is what such strings can reach: `length` - `gram` bytes before and `length` bytes from its start. Where
+    pieces of a text overlap, an anchor is given by one of them only.
     """
     reach, spread = length - gram, length - gram + 1
-    todo = [p for p in pieces(ends, 2 * length + gram) if p[2] - p[1] >= length]
+    overlap = 2 * length + gram
+    todo = [p for p in pieces(ends, overlap) if p[2] - p[1] >= length]
     while todo:
         taken, size = 0, 0
         while taken < len(todo) and (not taken or size + todo[taken][2] - todo[taken][1] <= PIECE):
@@ -72,6 +74,8 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> It
         before, after = np.minimum(p - start[piece], reach), np.minimum(stop[piece] - p, length)
         text = now[piece, 0]
         whole = ((before == reach) | (now[piece, 1] == ends[text])) & ((after == length) | (now[piece, 2] == ends[text + 1]))
+        # what lies far enough inside the next piece is the next one's
+        whole &= (now[piece, 1] - start[piece] + p < now[piece, 2] - overlap + reach) | (now[piece, 2] == ends[text + 1])
         p, piece, before, after, text = p[whole], piece[whole], before[whole], after[whole], text[whole]
         context = rolling.of(p - before, p + after) ^ (before * 1024 + after).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         yield text, p - start[piece] + now[piece, 1] - ends[text], before, after, h[p].view(np.int64), context.view(np.int64)
