@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from corpusq.functions.text import rounded
 
 
+#: Vectors of a block; two blocks are compared in one group.
+BLOCK = 2000
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """(query_id, v) x (chunk_id, v) -> the k nearest by cosine; the query set is the stated, small side."""
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, own: bool = True, block: int = BLOCK) -> DataFrame:
+    """(query_id, v) x (chunk_id, v) -> the k nearest by cosine.
+
+    Both sides are dealt into blocks of about `block` rows, and each pair of blocks meets in one group, so neither
+    side has to fit into a task. own=False leaves out chunks whose id is the query's.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("query_id", F.col("v").alias("qv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("qn"))
-    c = corpus.select("chunk_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("n"))
-    s = c.join(q).select("query_id", "chunk_id", rounded(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), 6).alias("score"))
+    nq, nc = (max(1, -(-d.count() // block)) for d in (queries, corpus))
+    dealt = lambda d, key, n, mine, other, m: d.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    q = dealt(queries.select("query_id", F.col("v").alias("qv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("qn")), "query_id", nq, "_qb", "_cb", nc)
+    c = dealt(corpus.select("chunk_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("n")), "chunk_id", nc, "_cb", "_qb", nq)
+    met = q.join(c, ["_qb", "_cb"])
+    met = met if own else met.where(F.col("query_id") != F.col("chunk_id"))
+    s = met.select("query_id", "chunk_id", rounded(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), 6).alias("score"))
     return top(s.where(F.col("score") >= threshold) if threshold else s, k)
 
 
