@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import rounded
+from corpusq.functions.text import rounded, truncate
 
 
 def latency_percentiles(df: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
@@ -36,15 +36,30 @@ def feedback_summary(rated: DataFrame, group: str, rating: str) -> DataFrame:
     return rated.groupBy(group).agg(F.count_if(F.col(rating) == 1).alias("up"), F.count_if(F.col(rating) == 0).alias("down"), F.count(F.lit(1)).alias("n"))
 
 
-def build_context(hits: DataFrame, file: str = "file", text: str = "text", limit: int = 600) -> DataFrame:
-    """(query_id, rank, file, text) -> one block per query, its sources in order of rank, long texts cut with '...'."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    cut = F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("..."))).otherwise(t)
-    block = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(" | File: "), F.coalesce(F.col(file), F.lit("unknown")), F.lit("]\n"), cut, F.lit("\n"))
+def build_context(hits: DataFrame, file: str = "file", text: str = "text", dataset: str = "dataset", split: str = "split", quality: str = "quality", profile: str = "profile") -> DataFrame:
+    """(query_id, rank, text, and what there is of the other columns) -> one block per query: its sources in order of
+    rank, each with its whole text. Dataset and split are unknown where null or no column; the other parts of the
+    header are left out where null, no column, or (profile and file) empty."""
+    none = F.lit(None).cast("string")
+    at = lambda c: F.col(c).cast("string") if c in hits.columns else none
+    filled = lambda c: F.when(at(c) != "", at(c))
+    named = lambda name, v: F.concat(F.lit(f"{name}: "), v)
+    shown = F.format_string("%.3f", F.col(quality).cast("double")) if quality in hits.columns else none
+    shown = F.when(F.col(quality).isNotNull(), shown) if quality in hits.columns else none
+    parts = [named("Dataset", F.coalesce(at(dataset), F.lit("unknown"))), named("Split", F.coalesce(at(split), F.lit("unknown"))), named("Quality", shown), named("Profile", filled(profile)), named("File", filled(file))]
+    block = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(" | "), F.concat_ws(" | ", *parts), F.lit("]\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
     in_order = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(in_order, lambda x: x.b), "\n---\n").alias("context"))
 
 
+def format_contexts(hits: DataFrame, text: str = "text", limit: int = 600) -> DataFrame:
+    """(query_id, rank, text) -> one line "[i] text" per source for judge prompts, from 0 in order of rank, texts beyond
+    `limit` characters cut with '...'."""
+    in_order = F.array_sort(F.collect_list(F.struct("rank", truncate(F.coalesce(F.col(text), F.lit("")), limit).alias("t"))))
+    lines = F.transform(in_order, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), x.t))
+    return hits.groupBy("query_id").agg(F.array_join(lines, "\n").alias("contexts"))
+
+
 def mean_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean and population deviation without NaN, and how many values are NaN."""
     v = F.when(~F.isnan(value), F.col(value))

@@ -98,9 +98,10 @@ def feedback_summary(spark, sf_dir):
 
 
 def build_context(spark, sf_dir):
-    """The ten best documents of each benchmark item by shared terms, as a context block."""
+    """The ten best documents of each benchmark item by shared terms, as a context block with their quality and profile."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), "text")
-    return evaluation.build_context(sparse_topk(spark, sf_dir).join(d, "chunk_id"))
+    hits = text.signals(sparse_topk(spark, sf_dir).join(d, "chunk_id"))
+    return evaluation.build_context(hits, quality="quality_score")
 
 
 def upsert_chunks(spark, sf_dir):
