@@ -11,6 +11,10 @@ NW = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 NOISE = r"_{5,}|\.{4,}|~{3,}|\^{3,}"
 LETTERS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉\p{L}\p{P}\p{S}\p{M}]"
 BROKEN = rf"[\p{{L}}\p{{N}}_]{{3,}}{WS}*\z"
+SCRIPTS = (r"\p{IsLatin}", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{3002}\x{3007}", r"\p{IsArabic}", r"\p{IsCyrillic}", r"\p{IsHangul}")
+#: The characters of WS, for trimming.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+ENDS = ".!?。！？"
 HEADER = rf"\A{WS}*(page{WS}+\p{{Nd}}+|chapter{WS}+\p{{Nd}}|section{WS}+\p{{Nd}}|©|\||\*{{3,}}|confidential|draft)"
 TABLE = rf"(?s)\A{WS}*\|.*\|.*\|"
 #: Size, overlap and tokens of the chunk profiles.
@@ -26,27 +30,37 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def script_runs() -> str:
+    """A run of characters of one script family; what is in none is a family too."""
+    return "|".join([*(f"[{x}]+" for x in SCRIPTS), f"[^{''.join(SCRIPTS)}]+"])
+
+
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the nine signals, their tags, the score and the profile; null counts as empty."""
+    """Adds the signals, their tags, the score and the profile; null counts as empty.
+
+    Texts are read by few, possessive patterns: letters by what is left without them, lines by their last three
+    characters, sentences and their words without splitting."""
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_n", F.greatest(F.length(t), F.lit(1)).cast("double")).withColumn("_l", F.split(t, "\n", -1))
-    lines = lambda p: F.size(F.filter("_l", lambda x: x.rlike(p))) / F.size("_l")
+    n = F.greatest(F.length(t), F.lit(1)).cast("double")
+    d = docs.withColumn("_l", F.split(t, "\n", -1))
+    lines = lambda test: F.size(F.filter("_l", test)) / F.size("_l")
     raw = {
-        "alpha_ratio": count(t, LETTERS) / F.col("_n"),
-        "ocr_noise_ratio": count(t, NOISE) / F.col("_n"),
-        "broken_line_ratio": lines(BROKEN),
-        "header_footer_ratio": lines("(?iu)" + HEADER),
-        "table_density": lines(TABLE),
-        "repeated_char_ratio": count(t, r"([a-zA-Z0-9])\1{4,}") / F.col("_n"),
-        "code_delimiter_ratio": (count(t, r"[{}\[]") + count(t, " {4,}")) / F.col("_n"),
+        "alpha_ratio": (F.length(t) - F.length(F.regexp_replace(t, f"{LETTERS}++", ""))) / n,
+        "ocr_noise_ratio": count(t, NOISE) / n,
+        "broken_line_ratio": lines(lambda x: F.right(F.rtrim(x, F.lit(BLANKS)), F.lit(3)).rlike(r"\A[\p{L}\p{N}_]{3}\z")),
+        "header_footer_ratio": lines(lambda x: x.rlike("(?iu)" + HEADER)),
+        "table_density": lines(lambda x: x.startswith("|") & x.rlike(TABLE) | x.rlike(rf"\A{WS}") & x.rlike(TABLE)),
+        "repeated_char_ratio": count(t, r"([a-zA-Z0-9])\1{4,}") / n,
+        "code_delimiter_ratio": (count(t, r"[{}\[]") + count(t, " {4,}")) / n,
     }
-    for k, v in raw.items():
-        d = d.withColumn(f"_{k}", F.when(F.length(t) > 0, v).otherwise(0.0)).withColumn(k, rounded(F.col(f"_{k}"), 4))
-    sentences = F.filter(F.split(t, "[.!?。！？]+", -1), lambda s: s.rlike(NW))
-    d = d.withColumn("_s", sentences).withColumn("_w", F.aggregate("_s", F.lit(0), lambda a, s: a + F.regexp_count(s, F.lit(f"{NW}+"))))
-    d = d.withColumn("avg_sentence_length", F.when(F.size("_s") > 0, rounded(F.col("_w") / F.size("_s"), 2)).otherwise(0.0))
-    tags = [("ocr_noise", "ocr_noise_ratio", 0.01), ("broken_lines", "broken_line_ratio", 0.25), ("table_heavy", "table_density", 0.05), ("header_footer_noise", "header_footer_ratio", 0.1), ("repeated_chars", "repeated_char_ratio", 0.005), ("code_delimiters", "code_delimiter_ratio", 0.03)]
-    named = F.array_compact(F.array(*[F.when(F.col(f"_{c}") > x, F.lit(t)) for t, c, x in tags]))
+    d = d.withColumns({f"_{k}": F.when(F.length(t) > 0, v).otherwise(0.0) for k, v in raw.items()}).drop("_l")
+    d = d.withColumns({k: rounded(F.col(f"_{k}"), 4) for k in raw})
+    inner = NW.replace("[^", f"[^{ENDS}", 1)
+    sentences, in_them = count(t, rf"{WS}*+{inner}[^{ENDS}]*+"), count(t, rf"{inner}++")
+    d = d.withColumns({"_s": sentences, "_w": in_them, "script_changes": F.greatest(count(F.regexp_replace(t, f"{WS}++", ""), script_runs()) - 1, F.lit(0))})
+    d = d.withColumn("avg_sentence_length", F.when(F.col("_s") > 0, rounded(F.col("_w") / F.col("_s"), 2)).otherwise(0.0))
+    tags = [("ocr_noise", "_ocr_noise_ratio", 0.01), ("broken_lines", "_broken_line_ratio", 0.25), ("table_heavy", "_table_density", 0.05), ("header_footer_noise", "_header_footer_ratio", 0.1), ("repeated_chars", "_repeated_char_ratio", 0.005), ("code_delimiters", "_code_delimiter_ratio", 0.03), ("mixed_scripts", "script_changes", 10)]
+    named = F.array_compact(F.array(*[F.when(F.col(c) > x, F.lit(t)) for t, c, x in tags]))
     d = d.withColumn("issue_tags", F.when(F.length(t) > 0, named).otherwise(F.array(F.lit("empty"))))
     c = F.col
     score = 1 - 0.4 * c("ocr_noise_ratio") - 0.15 * c("broken_line_ratio") - 0.1 * c("header_footer_ratio") - F.when(c("avg_sentence_length") < 5, 0.1).otherwise(0.0) - 0.3 * c("repeated_char_ratio")
@@ -56,7 +70,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         .when((c("quality_score") >= 0.85) & (F.size("issue_tags") == 0), "clean_text").otherwise("general")
     )
     d = d.withColumn("profile", profile)
-    return d.drop(*[x for x in d.columns if x.startswith("_")])
+    return d.drop("_s", "_w", *(f"_{k}" for k in raw))
 
 
 def estimate_tokens(text: str = "text") -> Column:

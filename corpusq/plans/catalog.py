@@ -20,7 +20,7 @@ def quality_profile_by_source(spark, sf_dir):
 
 def quality_signals(spark, sf_dir):
     d = text.signals(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "alpha_ratio", "ocr_noise_ratio", "broken_line_ratio", "header_footer_ratio", "table_density", "code_delimiter_ratio", "avg_sentence_length")
+    return d.select("doc_id", "alpha_ratio", "ocr_noise_ratio", "broken_line_ratio", "header_footer_ratio", "table_density", "code_delimiter_ratio", "avg_sentence_length", "repeated_char_ratio", "script_changes", F.array_join("issue_tags", ",").alias("issue_tags"), "quality_score", "profile")
 
 
 def estimate_tokens(spark, sf_dir):
@@ -168,13 +168,17 @@ s0 AS (SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(tex
   list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?。！？]+'), lambda x: regexp_matches(x, '{text.NW}')) AS s FROM documents),
 s1 AS (SELECT doc_id, source, t, {counted("t", text.LETTERS)} / n AS a, {counted("t", text.NOISE)} / n AS o, {LINE.format(text.BROKEN)} AS b, {LINE.format("(?i)" + text.HEADER)} AS h, {LINE.format(text.TABLE)} AS d,
   {counted("t", REPEATED)} / n AS c, ({counted("t", "[{}\\[]")} + {counted("t", " {4,}")}) / n AS k,
-  CASE WHEN len(s) > 0 THEN {r(f"list_sum(list_transform(s, lambda x: {counted('x', text.NW + '+')})) / len(s)", 2)} ELSE 0 END AS w FROM s0),
+  CASE WHEN len(s) > 0 THEN {r(f"list_sum(list_transform(s, lambda x: {counted('x', text.NW + '+')})) / len(s)", 2)} ELSE 0 END AS w,
+  greatest({counted(f"regexp_replace(t, '{text.WS}', '', 'g')", text.script_runs().replace("Is", ""))} - 1, 0)::INT AS script_changes FROM s0),
 s2 AS (SELECT *, {r("a")} AS alpha_ratio, {r("o")} AS ocr_noise_ratio, {r("b")} AS broken_line_ratio, {r("h")} AS header_footer_ratio, {r("d")} AS table_density, {r("k")} AS code_delimiter_ratio, {r("c")} AS repeated, w AS avg_sentence_length,
-  o > 0.01 OR b > 0.25 OR d > 0.05 OR h > 0.1 OR c > 0.005 OR k > 0.03 OR t = '' AS tagged FROM s1),
+  o > 0.01 OR b > 0.25 OR d > 0.05 OR h > 0.1 OR c > 0.005 OR k > 0.03 OR script_changes > 10 OR t = '' AS tagged,
+  CASE WHEN t = '' THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN o > 0.01 THEN 'ocr_noise' END, CASE WHEN b > 0.25 THEN 'broken_lines' END, CASE WHEN d > 0.05 THEN 'table_heavy' END, CASE WHEN h > 0.1 THEN 'header_footer_noise' END,
+    CASE WHEN c > 0.005 THEN 'repeated_chars' END, CASE WHEN k > 0.03 THEN 'code_delimiters' END, CASE WHEN script_changes > 10 THEN 'mixed_scripts' END], lambda x: x IS NOT NULL), ',') END AS issue_tags FROM s1),
 s3 AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, {r("1::DOUBLE - 0.4::DOUBLE * ocr_noise_ratio - 0.15::DOUBLE * broken_line_ratio - 0.1::DOUBLE * header_footer_ratio - CASE WHEN w < 5 THEN 0.1::DOUBLE ELSE 0 END - 0.3::DOUBLE * repeated")})) AS score FROM s2)"""
+PROFILED = """profiled AS (SELECT *, score AS quality_score, CASE WHEN table_density > 0.05 THEN 'table_heavy' WHEN code_delimiter_ratio > 0.03 THEN 'code_mixed' WHEN ocr_noise_ratio > 0.005 OR repeated > 0.002 THEN 'ocr_noisy' WHEN score >= 0.85 AND NOT tagged THEN 'clean_text' ELSE 'general' END AS profile FROM s3)"""
 DENSE = f"""
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS ql FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 50 <> 0),
-scored AS (SELECT query_id, chunk_id, ql, label, {r("list_cosine_similarity(q.v, c.v)", 6)} AS score FROM q, c),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS ql FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+scored AS (SELECT query_id, chunk_id, ql, label, {r("list_cosine_similarity(q.v, c.v)", 6)} AS score FROM q, c WHERE {{}}),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10)"""
 
 
@@ -205,13 +209,13 @@ def oracle_sql() -> dict:
         "stage_durations": "WITH c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) "
         "SELECT user_id, event_id, event_type, (floor(epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) - floor(epoch(ts)))::BIGINT AS seconds FROM c WHERE was IS NULL OR was <> event_type",
         "feedback_summary": "SELECT source, count(*) FILTER (quality = 1) AS up, count(*) FILTER (quality = 0) AS down, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
-        "build_context": f"SELECT query_id, string_agg('[Source ' || rank || ' | File: ' || coalesce(source, 'unknown') || ']' || chr(10) || CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '...' ELSE coalesce(text, '') END || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ({sparse}) h JOIN documents d ON h.chunk_id = d.doc_id GROUP BY query_id",
-        "quality_profile_by_source": f"WITH {SIGNALS} SELECT source, CASE WHEN table_density > 0.05 THEN 'table_heavy' WHEN code_delimiter_ratio > 0.03 THEN 'code_mixed' WHEN ocr_noise_ratio > 0.005 OR repeated > 0.002 THEN 'ocr_noisy' WHEN score >= 0.85 AND NOT tagged THEN 'clean_text' ELSE 'general' END AS profile, count(*) AS docs, {r('avg(score)')} AS score FROM s3 GROUP BY ALL",
-        "quality_signals": f"WITH {SIGNALS} SELECT doc_id, alpha_ratio, ocr_noise_ratio, broken_line_ratio, header_footer_ratio, table_density, code_delimiter_ratio, avg_sentence_length FROM s3",
+        "build_context": f"WITH {SIGNALS}, {PROFILED} SELECT query_id, string_agg('[Source ' || rank || ' | Dataset: unknown | Split: unknown | Quality: ' || printf('%.3f', quality_score) || ' | Profile: ' || profile || CASE WHEN source <> '' THEN ' | File: ' || source ELSE '' END || ']' || chr(10) || t || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ({sparse}) h JOIN profiled d ON h.chunk_id = d.doc_id GROUP BY query_id",
+        "quality_profile_by_source": f"WITH {SIGNALS}, {PROFILED} SELECT source, profile, count(*) AS docs, {r('avg(score)')} AS score FROM profiled GROUP BY ALL",
+        "quality_signals": f"WITH {SIGNALS}, {PROFILED} SELECT doc_id, alpha_ratio, ocr_noise_ratio, broken_line_ratio, header_footer_ratio, table_density, code_delimiter_ratio, avg_sentence_length, repeated AS repeated_char_ratio, script_changes, issue_tags, quality_score, profile FROM profiled",
         "estimate_tokens": "SELECT doc_id, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS tokens FROM documents",
-        "dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, score, rank::INT AS rank FROM hits",
+        "dense_topk": f"WITH {DENSE.format('true')} SELECT query_id, chunk_id, score, rank::INT AS rank FROM hits",
         "sparse_topk": sparse,
-        "retrieval_summary": f"WITH {DENSE}, e AS (SELECT query_id, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / 5 AS p, coalesce(sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN ql = label THEN 1 ELSE 0 END), 0), 0) AS rc, coalesce(1 / min(CASE WHEN rank <= 5 AND ql = label THEN rank END), 0) AS m, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS g FROM hits GROUP BY query_id) SELECT count(*) AS n, {r('avg(p)')} AS precision, {r('avg(rc)')} AS recall, {r('avg(m)')} AS mrr, {r('avg(g)')} AS ndcg FROM e",
+        "retrieval_summary": f"WITH {DENSE.format('query_id <> chunk_id')}, e AS (SELECT query_id, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / 5 AS p, coalesce(sum(CASE WHEN rank <= 5 AND ql = label THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN ql = label THEN 1 ELSE 0 END), 0), 0) AS rc, coalesce(1 / min(CASE WHEN rank <= 5 AND ql = label THEN rank END), 0) AS m, sum(CASE WHEN rank <= 5 AND ql = label THEN 1 / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS g FROM hits GROUP BY query_id) SELECT count(*) AS n, {r('avg(p)')} AS precision, {r('avg(rc)')} AS recall, {r('avg(m)')} AS mrr, {r('avg(g)')} AS ndcg FROM e",
         "session_stats": "SELECT conv_id, count(*) AS message_count, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
         "last_turns": f"SELECT conv_id, turn, role, text FROM ({turns.format(4)})",
         "history_block": f"SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM ({turns.format(12)}) GROUP BY conv_id",
