@@ -129,15 +129,13 @@ WITH d AS (
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN repeated r USING (doc_id)
 ), l AS (
-  SELECT doc_id, source, k, trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS line,
-    len(regexp_extract_all(x, '{WORD_SQL}')) AS n FROM (SELECT doc_id, source, unnest(lines) AS x, unnest(range(1, len(lines) + 1)) AS k FROM d)
-), around AS (
-  SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY k), '') AS a, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY k), '') AS b FROM l
+  SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS line,
+    len(regexp_extract_all(x, '{WORD_SQL}')) AS n FROM (SELECT doc_id, source, unnest(lines) AS x FROM d)
 ), common AS (
-  SELECT u.source, u.line FROM (SELECT source, line, count(*) AS c FROM (SELECT DISTINCT source, line, a, b FROM around) GROUP BY source, line) u
+  SELECT u.source, u.line FROM (SELECT source, line, count(DISTINCT doc_id) AS c FROM l GROUP BY source, line) u
   JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY source) h ON u.source IS NOT DISTINCT FROM h.source WHERE c > 10 AND c > 0.02 * docs
 ), gone AS (
-  SELECT doc_id, sum(n) AS n FROM around x JOIN common c ON x.source IS NOT DISTINCT FROM c.source AND x.line = c.line GROUP BY doc_id
+  SELECT doc_id, sum(n) AS n FROM l x JOIN common c ON x.source IS NOT DISTINCT FROM c.source AND x.line = c.line GROUP BY doc_id
 ), judged AS (
   SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(gone.n, 0) AS removed FROM base LEFT JOIN gone USING (doc_id)
 )
