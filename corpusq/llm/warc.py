@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ CRLF = b"\r\n"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + bytes(8)
 GZIP = 16 + zlib.MAX_WBITS
 LINES_PER_BLOCK = 256
+#: Bytes of an archive whose ranges one group reads; bytes between ranges that are read along rather than skipped.
+STRIPE, GAP = 8 << 20, 1 << 16
 
 
 def escaped(url: Column) -> Column:
@@ -43,11 +46,11 @@ def url_key(url: Column) -> Column:
 
 
 def duplicates(pages: DataFrame, page_id: str, html: str, least: int) -> DataFrame:
-    """(id, response's id) of pages whose payload, of `least` bytes or more, an earlier id has as well."""
+    """(id, digest, response's id) of pages whose payload, of `least` bytes or more, an earlier id has as well."""
     p = pages.select(F.col(page_id).alias("_id"), F.sha2(F.coalesce(F.col(html), F.lit("")), 256).alias("_digest"), F.octet_length(F.coalesce(F.col(html), F.lit(""))).alias("_bytes"))
     p = p.where((F.col("_bytes") >= least) & F.col("_id").isNotNull()).select("_id", "_digest")
     first = p.groupBy("_digest").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where(F.col("_first") < F.col("_last")).drop("_last")
-    return p.join(first, "_digest").where(F.col("_id") > F.col("_first")).select("_id", "_first").distinct()
+    return p.join(first, "_digest").where(F.col("_id") > F.col("_first")).select("_id", "_digest", "_first").distinct()
 
 
 def record_name(page_id) -> str:
@@ -77,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """
     copies = written(duplicates(pages, page_id, html, least), "revisits")
     own = pages.select(F.col(page_id).alias("_page"), escaped(F.col(url)).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"), F.sha2(F.coalesce(F.col(html), F.lit("")), 256).alias("_sha"))
-    own = own.join(copies, F.col("_page") == F.col("_id"), "left").select("_page", "_url", "_html", "_sha", "_first")
+    own = own.join(copies, (F.col("_page") == F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left").select("_page", "_url", "_html", "_sha", "_first")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,33 +192,63 @@ def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 rows += [(k, x[1], int(x[2]), int(x[3])) for x in lines[bisect.bisect_left(line_keys, k) : bisect.bisect_right(line_keys, k)]]
             yield pa.record_batch({"key": pa.array([x[0] for x in rows], pa.string()), "file": pa.array([x[1] for x in rows], pa.string()), "at": pa.array([x[2] for x in rows], pa.int64()), "n": pa.array([x[3] for x in rows], pa.int64())})
 
-    at_part = wanted.select("key").distinct().mapInArrow(find_part, "key string, part int")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at_part = wanted.select("key").repartition(tasks, "key").distinct().mapInArrow(find_part, "key string, part int")
     at_block = at_part.join(spark.read.parquet(f"{path}/directory").select("part", "firsts"), "part").select("key", "part", "firsts").mapInArrow(find_block, "key string, part int, block int")
     with_lines = at_block.join(spark.read.parquet(f"{path}/blocks").select("part", "block", "lines"), ["part", "block"]).select("key", "part", "block", "lines")
     return with_lines.sortWithinPartitions("part", "block").mapInArrow(in_block, "key string, file string, at long, n long")
 
 
-def read_ranges(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
-    """file, at, n -> the records that stand there, with what their headers and payloads say. The ranges of a file
-    meet it in one row; only they are unpacked."""
-    by_file = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("ranges"))
-    files = archive_files(spark, path).select(F.col("path").alias("file"), "content")
+def opened(uri: str):
+    """A file of the shared folder, for reads at an offset."""
+    where, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return where.open_input_file(path)
+
+
+def runs_of(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, ranges) of sorted ranges that lie close together, STRIPE bytes at most unless one range is longer."""
+    held: list[tuple[int, int]] = []
+    for at, n in ranges:
+        if held and (at - sum(held[-1]) > GAP or at + n - held[0][0] > STRIPE):
+            yield held[0][0], sum(held[-1]), held
+            held = []
+        held.append((at, n))
+    if held:
+        yield held[0][0], sum(held[-1]), held
+
+
+def read_ranges(ranges: DataFrame) -> DataFrame:
+    """file, at, n -> the records that stand there, with what their headers and payloads say.
+
+    Ranges meet by file and stripe of STRIPE bytes, are put in order, and are read from the shared folder by offset;
+    what lies near together is read at once, what lies between is not read."""
     kind = "page string, uri string, type string, refers string, digest string, http_length long, payload binary"
     schema = pa.schema([(c, pa.string()) for c in ("page", "uri", "type", "refers", "digest")] + [("http_length", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ranges, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                view, rows, held = memoryview(data.as_buffer()), [], 0
-                for i, r in enumerate(ranges, 1):
-                    f = parse(zlib.decompress(view[r["at"] : r["at"] + r["n"]], GZIP))
-                    rows.append((f.get("X-Page"), f.get("WARC-Target-URI"), f["WARC-Type"], f.get("X-Refers-To-Page"), f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["http_length"]), f["payload"]))
-                    held += len(f["payload"])
-                    if i == len(ranges) or held > 8 << 20:
-                        yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, held = [], 0
-
-    return by_file.join(files, "file").select("ranges", "content").mapInArrow(read, kind)
+            files, places = b.column(0).to_pylist(), list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+            cuts = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
+            rows, held = [], 0
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                with opened(files[x]) as f:
+                    for start, end, own in runs_of(sorted(places[x:y])):
+                        view = memoryview(f.read_at(end - start, start))
+                        for at, n in own:
+                            r = parse(zlib.decompress(view[at - start : at - start + n], GZIP))
+                            rows.append((r.get("X-Page"), r.get("WARC-Target-URI"), r["WARC-Type"], r.get("X-Refers-To-Page"), r["WARC-Payload-Digest"].removeprefix("sha256:"), int(r["http_length"]), r["payload"]))
+                            held += len(r["payload"])
+                            if held > 8 << 20:
+                                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                                rows, held = [], 0
+            if rows:
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    striped = ranges.select("file", F.floor(F.col("at") / STRIPE).alias("stripe"), "at", "n").repartition(tasks, "file", "stripe")
+    return striped.sortWithinPartitions("file", "stripe", "at").mapInArrow(read, kind)
 
 
 def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 100) -> DataFrame:
@@ -223,15 +256,16 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "u
 
     Of equal payloads of `least` bytes or more the smallest page_id is the response and the others revisit it.
     Payload digests of responses are taken anew from the bytes read. Null html is an empty payload; null URLs have
-    keys of their own; a null page_id is a response of its own. Rows that share a page_id are each a record.
-    Empty table: empty archives, empty result.
+    keys of their own; a null page_id is a response of its own. Rows that share a page_id are each a record, and only
+    those whose own payload an earlier id has are revisits. Rows equal in all are records alike. Very long payloads
+    are one record. Other columns, whatever their names, are not read. Empty table: empty archives, empty result.
     """
     spark, path = pages.sparkSession, new_path(pages.sparkSession, "warc")
     write_archives(pages, f"{path}/archives", page_id, url, html, least)
     caps = written(captures(spark, f"{path}/archives"), "captures")
     write_index(caps, f"{path}/index")
     wanted = pages.select(F.concat_ws(" ", url_key(escaped(F.col(url))), F.coalesce(F.lpad(F.col(page_id).cast("string"), 20, "0"), F.lit("-"))).alias("key"))
-    found = read_ranges(spark, f"{path}/archives", lookup(spark, f"{path}/index", wanted).select("file", "at", "n").distinct())
+    found = read_ranges(lookup(spark, f"{path}/index", wanted).select("file", "at", "n").distinct())
     kind = pages.schema[page_id].dataType
     digest = F.when(F.col("type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
     return found.select(
