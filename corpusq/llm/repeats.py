@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, groups_of, utf8
+from .common import Rolling, groups_of, utf8, written
 
 LENGTH, GRAM = 200, 64
 #: Bytes hashed at once; longer texts are cut into pieces that overlap.
-PIECE = 1 << 22
-#: Contexts that one task sorts as a group; larger groups are split by string.
-GROUP = 4000
+PIECE = 1 << 20
+#: Contexts that one task scans as a group; larger groups are split by what their members share.
+GROUP = 10_000
+#: A gram is hot above so many places, and above this share of all; its places are then dealt to SALTS tasks.
+HOT, HOT_SHARE, SALTS = 10_000, 1e-5, 32
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -108,77 +110,74 @@ def shared(a: bytes, b: bytes) -> int:
     return low
 
 
-def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], int]]:
-    """Maximal repeat groups around one anchor: (members, bytes before that neighbours share, bytes after).
-
-    `rights` go on from the anchor and are sorted: a suffix array. A scan with a stack over the prefixes that
-    neighbours share yields the intervals of the common-prefix tree, inner ones first. The members of an interval
-    share `right` bytes; in the order of their reversed left contexts, runs that share enough to fill `length`
-    are repeats. A run whose left contexts are one and the same text goes on to the left as one; as it is then
-    found again at the anchor before, it is given with all the bytes that are known.
-    """
-    common = [shared(a, b) for a, b in zip(rights, rights[1:])]
-    stack: list[tuple[int, int]] = []  # (bytes shared, first member) of open intervals
+def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(what they share, first, last) of the intervals of the common-prefix tree over sorted strings, inner ones first,
+    by one scan with a stack over what neighbours share."""
+    stack: list[tuple[int, int]] = []  # (shared, first member) of open intervals
     for i in range(len(common) + 1):
         now, first = common[i] if i < len(common) else -1, i
         while stack and stack[-1][0] > now:
-            right, first = stack.pop()
-            order = sorted(range(first, i + 1), key=lefts.__getitem__)
-            near = [shared(lefts[a], lefts[b]) for a, b in zip(order, order[1:])]
-            run = [order[0]]
-            own: list[int] = []
-            for k, left in zip(order[1:], near):
-                if left + right >= length:
-                    run.append(k)
-                    own.append(left)
-                    continue
-                if own:
-                    yield run, own, right
-                run, own = [k], []
-            if own:
-                yield run, own, right
+            share, first = stack.pop()
+            yield share, first, i
         if i < len(common) and (not stack or stack[-1][0] < now):
             stack.append((now, first))
 
 
+def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int) -> Iterator[tuple[list[int], int, int]]:
+    """Maximal repeat groups around one anchor: (all members, bytes before that they share, bytes after).
+
+    `rights` go on from the anchor and are sorted: a suffix array, whose intervals share `right` bytes and no more.
+    Whether the members go on alike to the left is tested by the intervals of their reversed left contexts: those of
+    one such interval share `left` bytes, and the byte before is diverse or not known to some. Where left and right
+    fill `length`, the group is given with every occurrence.
+    """
+    most = max(map(len, lefts), default=0)
+    for right, i, j in intervals([shared(a, b) for a, b in zip(rights, rights[1:])]):
+        if right + most < length:
+            continue
+        order = sorted(range(i, j + 1), key=lefts.__getitem__)
+        for left, x, y in intervals([shared(lefts[a], lefts[b]) for a, b in zip(order, order[1:])]):
+            if left + right >= length:
+                yield order[x : y + 1], left, right
+
+
 def covers(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[list[int], list[int]]:
     """How far to the left and right of the anchor each member is covered by repeats; 0 and 0 if not."""
     left, right = [0] * len(rights), [0] * len(rights)
-    for run, near, after in repeat_groups(rights, lefts, length):
-        for k, (a, b) in enumerate(zip(run, run[1:])):
-            for x in (a, b):
-                left[x], right[x] = max(left[x], near[k]), max(right[x], after)
+    for members, before, after in repeat_groups(rights, lefts, length):
+        for x in members:
+            left[x], right[x] = max(left[x], before), max(right[x], after)
     return left, right
 
 
 def windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Contexts of the anchors wanted (h, c, n, _key, at, before, after), cut from their texts."""
-    by_key = wanted.groupBy("_key").agg(F.collect_list(F.struct("h", "c", "many", "big", "at", "before", "after")).alias("w"))
-    schema = pa.schema([("big", pa.bool_()), ("h", pa.int64()), ("c", pa.int64()), ("many", pa.bool_()), ("right", pa.binary()), ("left", pa.binary())])
+    by_key = wanted.groupBy("_key").agg(F.collect_list(F.struct("h", "c", "big", "at", "before", "after")).alias("w"))
+    schema = pa.schema([("big", pa.bool_()), ("h", pa.int64()), ("c", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for text, wanted in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 t = (text.as_py() or "").encode()
-                rows += [(w["big"], w["h"], w["c"], w["many"], t[w["at"] : w["at"] + w["after"]], t[w["at"] - w["before"] : w["at"]][::-1]) for w in wanted]
+                rows += [(w["big"], w["h"], w["c"], t[w["at"] : w["at"] + w["after"]], t[w["at"] - w["before"] : w["at"]][::-1]) for w in wanted]
                 if len(rows) > 20_000:
                     yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
             if rows:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.join(by_key, "_key").select("_doc", "_text", "w").mapInArrow(run, "big boolean, h long, c long, many boolean, right binary, left binary")
+    return docs.join(by_key, "_key").select("_doc", "_text", "w").mapInArrow(run, "big boolean, h long, c long, right binary, left binary")
 
 
 def covers_in_tree(w: DataFrame, length: int) -> DataFrame:
-    """Contexts by anchor -> how far each is covered; an anchor's contexts are sorted in one task."""
+    """Contexts by group -> how far each is covered; a group's contexts are sorted in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, 1):
-            h = t.column("h").to_numpy()
-            c, rights, lefts = t.column("c").to_numpy(), t.column("right").to_pylist(), t.column("left").to_pylist()
-            cuts = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+            g = t.column("g").to_numpy()
+            rights, lefts = t.column("right").to_pylist(), t.column("left").to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
             out_l, out_r = [], []
             for a, b in zip(cuts, cuts[1:]):
                 left, right = covers(rights[a:b], lefts[a:b], length)
@@ -186,28 +185,37 @@ def covers_in_tree(w: DataFrame, length: int) -> DataFrame:
                 out_r += right
             left, right = np.array(out_l, np.int32), np.array(out_r, np.int32)
             hit = right > 0
-            yield pa.record_batch([pa.array(h[hit]), pa.array(c[hit]), pa.array(left[hit]), pa.array(right[hit])], names=["h", "c", "left", "right"])
+            yield pa.record_batch([pa.array(t.column("h").to_numpy()[hit]), pa.array(t.column("c").to_numpy()[hit]), pa.array(left[hit]), pa.array(right[hit])], names=["h", "c", "left", "right"])
 
-    by_h = w.select("h", "c", "right", "left").repartition("h").sortWithinPartitions("h", "right")
-    return by_h.mapInArrow(run, "h long, c long, left int, right int")
+    by_group = w.select("g", "h", "c", "right", "left").repartition("g").sortWithinPartitions("g", "right")
+    return by_group.mapInArrow(run, "h long, c long, left int, right int")
 
 
-def covers_by_string(w: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many contexts for one task: each string around the anchor is hashed, counted,
-    and met again by hash; no more than `length` strings a context."""
+def split_groups(w: DataFrame, length: int, gram: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of large groups -> (tables of groups small enough for the tree, tables of covers).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, c, many = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for i, (right, left) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                whole = np.frombuffer(left[::-1] + right, np.uint8)
-                o = np.arange(max(0, length - len(right)), len(left) + 1)
-                s = Rolling(whole).of(len(left) - o, len(left) - o + length).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(o), h[i])), pa.array(np.full(len(o), c[i])), pa.array(np.full(len(o), 2 if many[i] else 1, np.int32)), pa.array(o.astype(np.int32)), pa.array(s)], names=["h", "c", "n", "o", "s"])
-
-    strings = w.select("h", "c", "many", "right", "left").mapInArrow(run, "h long, c long, n int, o int, s long")
-    twice = strings.groupBy("h", "o", "s").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("h", "o", "s")
-    return strings.join(twice, ["h", "o", "s"]).groupBy("h", "c").agg(F.max("o").alias("left"), (F.lit(length) - F.min("o")).alias("right"))
+    A group holds contexts that share `low` bytes to the right and `length` - `high` to the left: (`gram`, `length`) at
+    first. It is split in two: repeats that go `middle` + 1 bytes to the right or more, and those that go no further
+    than `middle`, which reach `length` - `middle` to the left. Each context goes to both halves, but only where
+    another shares as much. Halves that are still too large are split again; where low = high all members are
+    repeats, covered as far as they share. No pair is lost, and no group is gathered to split it.
+    """
+    small, done = [], []
+    d = w.select("h", "c", "right", "left").withColumn("low", F.lit(gram)).withColumn("high", F.lit(length))
+    while True:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct((middle + 1).alias("low"), F.col("high").alias("high")), F.struct(F.col("low").alias("low"), middle.alias("high")))
+        d = d.withColumn("half", F.explode(halves)).select("h", "c", "right", "left", "half.low", "half.high")
+        d = d.where((F.octet_length("right") >= F.col("low")) & (F.octet_length("left") >= length - F.col("high")))
+        shares = [F.substring("right", F.lit(1), F.col("low")), F.substring("left", F.lit(1), F.lit(length) - F.col("high"))]
+        d = written(d.withColumn("g", F.xxhash64("h", "low", "high", *shares)), "halves")
+        sizes = written(d.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1), "half-sizes")
+        d = d.join(sizes, "g")
+        done.append(d.where("low = high").select("h", "c", (length - F.col("high")).alias("left"), F.col("low").alias("right")))
+        small.append(d.where((F.col("low") < F.col("high")) & (F.col("k") <= GROUP)).select("g", "h", "c", "right", "left"))
+        d = d.where((F.col("low") < F.col("high")) & (F.col("k") > GROUP)).drop("g", "k")
+        if d.isEmpty():
+            return small, done
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -220,25 +228,34 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     Anchors (about one in 70 bytes) stand for the strings around them. Those that stand once are dropped; those
     that stand with the same context twice cover it whole, and are counted before anything is shuffled. Only
     one context of each kind is cut from its text, sorted with those of the same anchor, and scanned for
-    maximal repeats by the common-prefix interval tree. Anchors with more than GROUP contexts are split by string.
+    maximal repeats by the common-prefix interval tree. Anchors with more than GROUP contexts are split by what
+    their contexts share, so that each part is scanned in the same way.
 
     Null text: no bytes. Rows that repeat in id and text are copies of each other: both are cut. A text without
-    repeats has no spans and is kept whole. Empty table: empty result.
+    repeats has no spans and is kept whole. Runs of one byte are repeats of themselves like others. Very long texts
+    are hashed in pieces that overlap. Other columns, whatever their names, are not read. Empty table: empty result.
+    Rows are told apart by a 64-bit hash of id and text.
     """
-    from .common import written
-
     d = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_key"), F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     a = anchors(d, length, gram)
-    twice = a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h")
-    found = written(a.join(twice, "h"), "anchors")
+    twice = written(a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "grams")
+    limit = max(HOT, HOT_SHARE * (twice.agg(F.sum("n")).first()[0] or 0))
+    hot = twice.where(F.col("n") > limit).select("h", F.lit(True).alias("hot"))  # 1 / HOT_SHARE rows at most
+    dealt = a.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_key", "at"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    salts = twice.select("h", F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    found = written(dealt.join(salts, ["h", "salt"]).drop("salt"), "anchors")
     kinds = found.groupBy("h", "c").agg((F.count(F.lit(1)) > 1).alias("many"), F.min(F.struct("_key", "at", "before", "after")).alias("one"))
     kinds = written(kinds.select("h", "c", "many", "one.*"), "contexts")
     size = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
     wanted = kinds.join(size, "h").withColumn("big", F.col("k") > GROUP)
-    w = windows(d, wanted, length)
-    w = written(w, "windows")
-    whole = kinds.where("many").select("h", "c", F.col("before").alias("left"), F.col("after").alias("right"))
-    far = whole.unionByName(covers_in_tree(w.where(~F.col("big")), length)).unionByName(covers_by_string(w.where("big"), length))
+    w = written(windows(d, wanted, length), "windows")
+    small, done = split_groups(w.where("big"), length, gram)
+    in_tree = w.where(~F.col("big")).select(F.col("h").alias("g"), "h", "c", "right", "left")
+    for x in small:
+        in_tree = in_tree.unionByName(x)
+    far = kinds.where("many").select("h", "c", F.col("before").alias("left"), F.col("after").alias("right")).unionByName(covers_in_tree(in_tree, length))
+    for x in done:
+        far = far.unionByName(x)
     far = far.groupBy("h", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     spans = found.join(far, ["h", "c"]).groupBy("_key").agg(F.collect_list(F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))).alias("s"))
     kind = docs.schema[doc_id].dataType.simpleString()
