@@ -34,6 +34,8 @@ NOISE_NAMES = frozenset(
     "subscribe subscription newsletter share sharing social related recommended recommendations widget widgets comment comments disqus respond replies toolbar pagination pager login signin signup search skip".split()
 )
 HEADER_NAMES = frozenset("header masthead topbar".split())
+#: Names that also count inside an article; the others are often names of its own parts there.
+INNER_NAMES = frozenset("ad ads advert adverts advertisement adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr subscribe subscription newsletter share sharing related recommended recommendations comment comments disqus respond replies".split())
 MIN_PAGES, LOW, GAMMA = 5, 0.3, 0.9
 #: A single text is cut only if this share of the pages that have its node have it: articles may quote a common line.
 TEXT_SHARE = 0.9
@@ -43,8 +45,10 @@ TEXT_SHARE = 0.9
 class Node:
     tag: str
     path: str
-    noise: bool
+    hard: bool  #: no article by its tag, role or state
+    soft: bool  #: no article by its names; an article or main element inside is one all the same
     article: bool
+    outer: bool = False  #: whether its block is no article
     children: list = field(default_factory=list)
 
 
@@ -53,30 +57,33 @@ def signed(text: str) -> int:
 
 
 def element(tag: str, attributes: str, parent: Node) -> Node:
-    names, noise = "", tag in NOISE_TAGS
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id"):
-                names += f".{value}" if name == "class" else ""
-                parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])(?=[A-Z])", r"\1-", m[2] or m[3] or m[4] or "").lower()))
-                noise |= bool(parts & NOISE_NAMES) or bool(parts & HEADER_NAMES) and not parent.article
-            noise |= name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    article = parent.article or tag in ("article", "main")
-    noise |= tag == "header" and not article
-    return Node(tag, f"{parent.path}/{tag}{names}", parent.noise or noise and tag not in ("html", "body", "article", "main"), article)
+    names, hard, soft = "", tag in NOISE_TAGS, False
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id"):
+            names += f".{value.lower()}" if name == "class" else ""
+            parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])(?=[A-Z])", r"\1-", value).lower()))
+            soft |= bool(parts & (INNER_NAMES if parent.article else NOISE_NAMES | HEADER_NAMES))
+        value = value.lower()
+        hard |= name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+    main = tag in ("article", "main")
+    hard |= tag == "header" and not (parent.article or main)
+    plain = tag in ("html", "body") or main
+    hard, soft = parent.hard or hard and not plain, not main and (parent.soft or soft and not plain)
+    return Node(tag, f"{parent.path}/{tag}{names}", hard, soft, parent.article or main, hard or soft if tag in BLOCK else parent.outer)
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[str]]]:
-    """(text, path, noise, in an article) of each block in page order, and each path's child sequences."""
-    root = Node("", "", False, False)
+    """(text, path, no article by its kind, in an article) of each block in page order, and each path's child
+    sequences."""
+    root = Node("", "", False, False, False)
     stack, found, styles, held, at = [root], [], {}, [], 0
 
     def flush() -> None:
         if held:
             if text := " ".join(entities.unescape("".join(held)).split()):
                 block = next(n for n in reversed(stack) if n.tag in BLOCK or n is root)
-                found.append((text, block.path, stack[-1].noise, stack[-1].article))
+                found.append((text, block.path, block.outer, stack[-1].article))
             held.clear()
 
     def pop() -> None:
@@ -87,7 +94,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list
 
     while m := TAG.search(page, at):
         if m.start() > at:
-            if not stack[-1].noise:
+            if stack[-1].outer or not (stack[-1].hard or stack[-1].soft):
                 held.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -133,12 +140,12 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list
             continue
         if not m[3].endswith("/") or tag in BLOCK:
             stack.append(node)
-    if at < len(page) and not stack[-1].noise:
+    if at < len(page):
         held.append(page[at:])
     while len(stack) > 1:
         pop()
     flush()
-    return [b for b in found if not b[2]], styles
+    return found, styles
 
 
 def host_of(url: Column) -> Column:
@@ -190,28 +197,33 @@ def low_nodes(nodes: DataFrame, min_pages: int, low: float, gamma: float) -> Dat
 
 
 def main_text(page: str, low: set[int]) -> str:
-    kept = [b for b in blocks(page)[0] if not low or (b[3] or signed(b[1]) not in low) and signed(b[1]) ^ signed(b[0]) not in low]
-    if any(b[3] for b in kept):
-        kept = [b for b in kept if b[3]]
+    """The blocks that are neither of low importance nor no article by their kind; those of article and main elements
+    alone if they hold at least as much text as the others (a teaser beside the text is no article)."""
+    kept = [b for b in blocks(page)[0] if not b[2] and (not low or (b[3] or signed(b[1]) not in low) and signed(b[1]) ^ signed(b[0]) not in low)]
+    inside = sum(len(b[0]) for b in kept if b[3])
+    if 2 * inside >= sum(len(b[0]) for b in kept):
+        kept = [b for b in kept if b[3] or not inside]
     return "\n".join(b[0] for b in kept)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, low: float = LOW, gamma: float = GAMMA) -> DataFrame:
     """The main text of each page: page_id, url, text, n_chars.
 
-    The pages of a host are merged into one style tree, of paths of tags and classes; pages with the same html are one
-    page there. Branches outside article and main elements whose composite importance is below `low` are cut from
-    each page, and so are texts that nine in ten of the pages with their path have there, wherever they stand; both
-    need `min_pages` different pages. What is no article by its kind (menus, forms, scripts, adverts and so on, by
-    tag, role or class) is cut first. If something stands in an article or main element, only that is the
-    main text. Blocks are joined by a line feed, white space inside them is one space.
+    The pages of a host are merged into one style tree, of paths of tags and classes, with all that stands in them;
+    pages with the same html are one page there. Branches outside article and main elements whose composite
+    importance is below `low` are cut from each page, and so are texts that nine in ten of the pages with their path
+    have there, wherever they stand; both need `min_pages` different pages. What differs from page to page has high
+    importance, whatever it is: menus, forms, adverts or comments are told by tag, role or name. Names of an element do
+    not count against an article inside it, and fewer names count inside an article. Blocks are joined by a line feed,
+    white space inside them is one space.
 
     Only hashes of nodes are shuffled, summed before; pages then meet their host's short list of low nodes.
-    Null html: empty text. Null or malformed URLs share the empty host. Rows are kept as they are, repeated ones
-    included. Empty table: empty result.
+    Null html: empty text. Pages with null or malformed URLs belong to no host: they have no tree, only the kinds. Very
+    long pages are taken whole. Rows are kept as they are, repeated ones included. Other columns, whatever their
+    names, are not read. Empty table: empty result.
     """
     p = pages.select(F.col(page_id).alias("_page"), F.col(url).alias("_url"), host_of(F.col(url)).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    cut = written(low_nodes(site_nodes(with_copies(p)), min_pages, low, gamma), "low-nodes")
+    cut = written(low_nodes(site_nodes(with_copies(p.where("_host <> ''"))), min_pages, low, gamma), "low-nodes")
     d = p.join(cut, F.col("_host") == F.col("host"), "left").select("_page", "_url", "_html", "low")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
 
