@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,33 +18,49 @@ SIZE, PERCENT = 3, 90
 #: Counters by which shingles are ordered; the table has this size whatever the input.
 BINS = 1 << 18
 #: Sets, and bytes of sets, that one task compares; longer lists are split into pairs of blocks.
-LIST, BLOCK = 4000, 16 << 20
+LIST, BLOCK = 4000, 8 << 20
+#: Bytes of text hashed at once.
+SLICE = 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word begins, its hash) of texts that lie one after the other. Bytes are taken in slices of about
+    SLICE that end between words, so what is held at once does not grow with the batch or with a long text."""
+    begins, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        to = min(at + SLICE, len(data))
+        while to < len(data) and not SPACES[data[to]]:
+            step = np.flatnonzero(SPACES[data[to : to + SLICE]])
+            to = to + int(step[0]) if len(step) else min(to + SLICE, len(data))
+        piece = LOWER[data[at:to]]
+        word = ~SPACES[piece]
+        edge = np.zeros(len(piece) + 1, bool)
+        edge[ends[np.searchsorted(ends, at) : np.searchsorted(ends, to, side="right")] - at] = True
+        begin = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+        stop = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+        hashes.append(Rolling(piece).of(begin, stop) ^ mixed_bits((stop - begin).astype(np.uint64)))
+        begins.append(begin + at)
+        at = to
+    return np.concatenate(begins), np.concatenate(hashes)
+
+
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes; of fewer words, one of them all."""
     data, ends = utf8(texts)
-    data = LOWER[data]
-    word = ~SPACES[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[ends] = True
-    begin = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
-    stop = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-    h = Rolling(data).of(begin, stop) ^ mixed_bits((stop - begin).astype(np.uint64))
+    begin, h = word_hashes(data, ends)
     bounds = np.searchsorted(begin, ends).tolist()
-    grams = np.zeros(len(h), np.uint64)
-    if len(h) >= size:
-        n = len(h) - size + 1
-        for j in range(size):
-            grams[:n] = mixed_bits(grams[:n] + h[j : j + n])
     out = []
     for a, b in zip(bounds, bounds[1:]):
         if b - a >= size:
-            out.append(np.unique(grams[a : b - size + 1]))
+            n = b - a - size + 1
+            grams = np.zeros(n, np.uint64)
+            for j in range(size):
+                grams = mixed_bits(grams + h[a + j : a + j + n])
+            out.append(np.unique(grams))
         else:
             out.append(np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes())], np.uint64) if b > a else np.zeros(0, np.uint64))
     return out
@@ -55,8 +72,8 @@ def bin_counts(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
         for b in batches:
-            if sets := shingle_sets(b.column(0), size):
-                total += np.bincount((np.concatenate(sets) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+            for s in shingle_sets(b.column(0), size):
+                np.add.at(total, (s & np.uint64(BINS - 1)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
 
@@ -128,18 +145,17 @@ def blocked(df: DataFrame, blocks: Column, seed: Column) -> DataFrame:
 def candidate_links(ns: list[int], at: list[int], maps: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
     """A forest over an index list: sets are joined that may link by size, place in the list and bitmap.
 
-    The list is in order of size, so that a set's partners start where the sizes are large enough and what lies
-    before is skipped as a block. A set is first held against one of each class; sets of a class that it has
-    joined are skipped.
+    The list is in order of size and, within a size, of place: blocks of equal size. For a set, blocks of too small a
+    size are skipped whole, and of each other block what comes after the last place from which enough shingles
+    can follow is skipped. Of the rest, sets of a class that the set has joined are skipped.
     """
     bits = [int.from_bytes(m, "little") for m in maps]
     width = [len(m) * 8 for m in maps]
-    forest, leaders, low = Forest(len(ns)), [], 0
+    forest = Forest(len(ns))
+    blocks: list[tuple[int, list[int], list[int]]] = []  # size, places and sets in order of place
+    low = 0
 
-    def may(x: int, y: int) -> bool:
-        need = least_shared(ns[x], ns[y], percent)
-        if min(ns[x] - at[x], ns[y] - at[y]) < need:
-            return False
+    def near(x: int, y: int, need: int) -> bool:
         a, b, w, v = bits[x], bits[y], width[x], width[y]
         while w > v:
             w //= 2
@@ -150,21 +166,25 @@ def candidate_links(ns: list[int], at: list[int], maps: list[bytes], percent: in
         return (a ^ b).bit_count() <= ns[x] + ns[y] - 2 * need
 
     for x in range(len(ns)):
-        while 100 * ns[low] < percent * ns[x]:
+        n = ns[x]
+        while low < len(blocks) and 100 * blocks[low][0] < percent * n:
             low += 1
-        leaders = [y for y in leaders if y >= low]
-        tried = set()
-        for y in leaders:
-            tried.add(y)
-            if forest.root(x) != forest.root(y) and may(x, y):
-                forest.join(x, y)
-                yield x, y
-        for y in range(low, x):
-            if y not in tried and forest.root(x) != forest.root(y) and may(x, y):
-                forest.join(x, y)
-                yield x, y
-        if forest.root(x) == x:
-            leaders.append(x)
+        mine = x
+        for k in range(len(blocks) - 1, low - 1, -1):
+            size, places, sets = blocks[k]
+            need = least_shared(n, size, percent)
+            if n - at[x] < need:
+                continue
+            for y in sets[: bisect_right(places, size - need)]:
+                top = forest.root(y)
+                if top != mine and near(x, y, need):
+                    forest.join(x, y)
+                    mine = forest.root(x)
+                    yield x, y
+        if not blocks or blocks[-1][0] != n:
+            blocks.append((n, [], []))
+        blocks[-1][1].append(at[x])
+        blocks[-1][2].append(x)
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -238,7 +258,7 @@ def coarse_links(heads: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([pa.array(a, t.schema.field("id").type), pa.array(b, t.schema.field("id").type)], names=["a", "b"])
 
     kind = heads.schema["id"].dataType.simpleString()
-    return rows.repartition("token", "_i", "_j").sortWithinPartitions("token", "_i", "_j", "n", "id").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition("token", "_i", "_j").sortWithinPartitions("token", "_i", "_j", "n", "at", "id").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def verified_links(docs: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
