@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     LIST sets or BLOCK bytes are split into pairs of blocks.
 
     Null or wordless texts: 0 shingles, linked with nothing. Rows of equal id are given one by one. A null id has
-    no component. Empty table: empty result.
+    no component. Very long texts are hashed in slices and compared whole. Other columns, whatever their names, are
+    not read. Empty table: empty result.
     """
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     sets = written(prefixes(d, bin_counts(d, size), size, percent), "sets")

@@ -85,7 +85,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     verified: found shingles over all shingles of the template >= containment.
 
     The templates are a parameter; their table (hashes only) is what is broadcast. Null or wordless texts hold
-    none. Rows that share an id count as one document. Empty table: empty result.
+    none. Rows that share an id, or have none, count as one document, of which the text that holds most of a
+    template counts. Very long texts are taken whole. Other columns, whatever their names, are not read. Empty table:
+    empty result.
     """
     spark = docs.sparkSession
     t = template_table(spark, templates)
@@ -93,9 +95,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     of_template = banded(t, bands, {w: 1 for w in WINDOWS}, F.col("_window")).select("license", "_key").distinct()
     d = with_shingles(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text").drop("_text")
     met = banded(d, bands, {w: max(1, w // 2) for w in WINDOWS}).join(F.broadcast(of_template), "_key").select("_id", "license").distinct()
-    met = written(met.where(F.col("_id").isNotNull()), "license-candidates")
-    own = with_shingles(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(met.select("_id").distinct(), "_id", "left_semi"), "_text").drop("_text")
-    pairs = own.join(met, "_id").join(F.broadcast(t.select("license", F.array_distinct("_h").alias("_t"))), "license")
+    met = written(met.withColumnRenamed("_id", "_met"), "license-candidates")
+    same = F.col("_id").eqNullSafe(F.col("_met"))
+    own = with_shingles(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(met.select("_met").distinct(), same, "left_semi"), "_text").drop("_text")
+    pairs = own.join(met, same).drop("_met").join(F.broadcast(t.select("license", F.array_distinct("_h").alias("_t"))), "license")
     shared = pairs.select("_id", "license", F.size("_t").cast("long").alias("n_shingles"), F.size(F.array_intersect("_t", "_h")).cast("long").alias("n_found"))
     best = shared.groupBy("_id", "license", "n_shingles").agg(F.max("n_found").alias("n_found"))
     return best.where(F.col("n_found") >= containment * F.col("n_shingles")).select(F.col("_id").alias(doc_id), "license", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))

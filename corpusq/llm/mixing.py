@@ -54,7 +54,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     taken alike.
 
     Null or wordless texts have size 0 and are not taken. Null sources are a source of their own. Rows are kept as
-    they are, repeated ones included. An empty table gives an empty table.
+    they are, repeated ones included. Very long texts are counted whole. Other columns, whatever their names, are
+    not read (with `keep` they are kept in _row). An empty table gives an empty table.
     """
     own = docs.select(
         F.col(doc_id).alias("_id"), F.col(source).alias("_s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_n"), *([F.struct(*docs.columns).alias("_row")] if keep else [])

@@ -13,6 +13,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, SPACE = "▁", 0x20
 #: Words of which a worker remembers the ids from batch to batch.
@@ -164,11 +166,12 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, to: str = "t
     The ids are those of the segmentation with the highest sum of piece scores; of equal ones, the longest last
     piece wins. White space is kept as it is, a space is put in front, characters without a piece become bytes.
     Each batch of rows sorts its distinct marked words, so that the search runs along a trie of them.
-    Null or empty texts have no ids. Other columns stay but for `drop`; one named like `to` is replaced.
+    Texts are not normalised. Null or empty texts have no ids; very long texts are encoded whole; rows that repeat are
+    encoded alike. Other columns stay but for `drop`; one named like `to` is replaced.
     """
     shared = load(docs.sparkSession, model)
     keep = [f for f in docs.schema.fields if f.name != to and f.name not in drop]
-    d = docs.select(*[F.col(f.name) for f in keep], F.col(text).alias("_encoded"))
+    d = docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").alias(free_name(docs, "_encoded")))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{to}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +183,11 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, to: str = "t
 
 
 def decode(df: DataFrame, ids: str = "token_ids", model: str = MODEL, to: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the text of each array of ids; of a null array, null."""
+    """Adds the text of each array of ids; of a null array, null; of an empty one, the empty text. Ids that end inside a
+    character give a replacement character. Other columns stay but for `drop`; one named like `to` is replaced."""
     shared = load(df.sparkSession, model)
     keep = [f for f in df.schema.fields if f.name != to and f.name not in drop]
-    d = df.select(*[F.col(f.name) for f in keep], F.col(ids).alias("_decoded"))
+    d = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{ids}`").alias(free_name(df, "_decoded")))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{to}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,13 +18,13 @@ def masked(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
-    """One row per line with a word: id, position, hash of the masked line, leaf (word count and first words),
-    and the masked line."""
-    d = docs.select(F.col(doc_id).alias("_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_all"))
-    d = d.select("_id", F.explode(F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("k"), masked(x).alias("m"))), lambda s: s.m != "")).alias("_s"))
-    d = d.select("_id", F.col("_s.k").alias("_k"), F.col("_s.m").alias("_m"))
+    """One row per line with a word: id, hash of the text, position, hash of the masked line, leaf (word count and
+    first words), and the masked line."""
+    d = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_of"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_all"))
+    d = d.select("_id", "_of", F.explode(F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("k"), masked(x).alias("m"))), lambda s: s.m != "")).alias("_s"))
+    d = d.select("_id", "_of", F.col("_s.k").alias("_k"), F.col("_s.m").alias("_m"))
     n_words = F.length("_m") - F.length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
-    return d.select("_id", "_k", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
+    return d.select("_id", "_of", "_k", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
 
 
 def recurring(lines: DataFrame, limit: Column, limits: DataFrame, depth: int, fixed: float) -> DataFrame:
@@ -71,15 +71,17 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of all of them. Adds n_lines (with a word) and n_dropped; n_chars, if there, follows the text.
 
     Lines are parsed by a tree of fixed depth: word count, then the first `depth` words. Blank lines and
-    the other lines stay as they are. Null text: null, no lines. Rows that share an id count as one document, so
-    that positions dropped in one go from all. Empty table: empty result.
+    the other lines stay as they are. Null text: null, no lines. Rows that share an id, or have none, count as one
+    document; each loses its own lines. Rows equal in id and text are alike. Very long lines are parsed whole. Columns
+    named n_lines or n_dropped are replaced, others stay. Empty table: empty result.
     """
     lines = written(line_table(docs, doc_id, text, depth), "line-table")
     limits = docs.agg(F.count(F.lit(1)).alias("_docs"))
     common = written(recurring(lines, F.greatest(F.lit(min_docs), F.col("_docs") * share), limits, depth, fixed), "recurring-lines")
-    gone = written(lines.select("_id", "_k", "_line").join(common, "_line").groupBy("_id").agg(F.collect_set("_k").alias("__gone")).withColumnRenamed("_id", "__gone_id"), "dropped-lines")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    d = docs.select(*own).join(gone, F.col(doc_id) == F.col("__gone_id"), "left")
+    gone = lines.select("_id", "_of", "_k", "_line").join(common, "_line").groupBy("_id", "_of").agg(F.collect_set("_k").alias("__gone"))
+    gone = written(gone.select(F.col("_id").alias("__gone_id"), F.col("_of").alias("__gone_of"), "__gone"), "dropped-lines")
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    d = docs.select(*own).join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_of")), "left")
     all_lines = F.split(F.col(text), "\n", -1)
     left = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     d = d.withColumn("n_lines", F.coalesce(F.size(F.filter(all_lines, lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
