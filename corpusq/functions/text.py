@@ -73,6 +73,15 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.drop("_s", "_w", *(f"_{k}" for k in raw))
 
 
+def chunk_params(docs: DataFrame, size: str | None = None, overlap: str | None = None, tokens: str | None = None) -> DataFrame:
+    """Adds size, overlap and tokens: a column's value where given and not 0, else that of the row's profile."""
+    rows = [(p, *v) for p, v in PROFILES.items()]
+    presets = docs.sparkSession.createDataFrame(rows, "profile string, _size int, _overlap int, _tokens int")
+    pick = lambda c, preset: (F.coalesce(F.nullif(F.col(c).cast("int"), F.lit(0)), F.col(preset)) if c else F.col(preset))
+    d = docs.join(F.broadcast(presets), "profile", "left")  # five rows
+    return d.withColumns({"size": pick(size, "_size"), "overlap": pick(overlap, "_overlap"), "tokens": pick(tokens, "_tokens")}).drop("_size", "_overlap", "_tokens")
+
+
 def estimate_tokens(text: str = "text") -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 4)).cast("long")
 

@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where paragraphs and sentences end.
 PARAGRAPH, SENTENCE = r"\n\s*\n+", r"(?<=[.!?。！？])\s+"
+#: Where tables begin, what code is, and separators from coarse to fine.
+TABLE, CODE, SEPARATORS = r"\n(?=\[Sheet:|\||\d+,)", r"(?s)(```.*?```|`[^`\n]+`)", ("\n\n", "\n", ". ", " ", "")
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,3 +72,100 @@ def pack_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(packed, f"{key} {kind}, chunk_index int, total_chunks int, chunk_text string")
+
+
+def trimmed_parts(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per paragraph that is not blank, trimmed, with its place from 0."""
+    return docs.select(key, F.posexplode(trimmed_parts(F.split(F.col(text), PARAGRAPH, -1))).alias("paragraph_index", "paragraph"))
+
+
+def split_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per part; parts begin where a sheet or a line of a table does."""
+    return docs.select(key, F.posexplode(trimmed_parts(F.split(F.col(text), TABLE, -1))).alias("part_index", "part"))
+
+
+def split_code(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_code: bool = False) -> DataFrame:
+    """One row per segment, with whether it is code (fenced or inline)."""
+    marked = F.regexp_replace(F.col(text), CODE, "\x01\x02$1\x01")
+    d = docs.select(key, F.posexplode(trimmed_parts(F.split(marked, "\x01", -1))).alias("segment_index", "_s"))
+    d = d.select(key, "segment_index", F.startswith("_s", F.lit("\x02")).alias("is_code"), F.replace("_s", F.lit("\x02"), F.lit("")).alias("segment"))
+    return d.where("not is_code") if drop_code else d
+
+
+def adaptive(text: str | None, profile: str, size: int, overlap: int, tokens: int) -> list[str]:
+    """Tables part by part, code apart from what is around it, other texts as they are; equal chunks once."""
+    t = (text or "").strip()
+    if profile == "table_heavy":
+        parts = re.split(TABLE, t)
+    elif profile == "code_mixed":
+        parts = re.split(CODE, t)
+    else:
+        parts = [t]
+    whole = re.compile(CODE)
+    made = [c for p in map(str.strip, parts) if p for c in ([p] if profile == "code_mixed" and whole.fullmatch(p) else pack(p, size, overlap, tokens))]
+    return list(dict.fromkeys(made))
+
+
+def adaptive_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, profile, chunk_index, total_chunks, chunk_text) of rows with profile, size, overlap and tokens."""
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, p, i, len(c), x) for k, t, p, *how in b.itertuples(index=False) for c in [adaptive(t, p, *how)] for i, x in enumerate(c)]
+            yield pd.DataFrame(rows, columns=[key, "profile", "chunk_index", "total_chunks", "chunk_text"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text, "profile", "size", "overlap", "tokens").mapInPandas(chunked, f"{key} {kind}, profile string, chunk_index int, total_chunks int, chunk_text string")
+
+
+def pieces_of(text: str, size: int, separators: tuple[str, ...]) -> Iterator[str]:
+    """The text cut at the coarsest separator that it has, and what is still too long at finer ones."""
+    if len(text) <= size:
+        yield text
+        return
+    at = next((i for i, s in enumerate(separators) if s and s in text), None)
+    if at is None:
+        yield from (text[i : i + size] for i in range(0, len(text), size))
+        return
+    parts = text.split(separators[at])
+    for p in [*(x + separators[at] for x in parts[:-1]), parts[-1]]:
+        yield from pieces_of(p, size, separators[at + 1 :])
+
+
+def recursive(text: str | None, size: int, overlap: int) -> list[str]:
+    """Pieces joined up to `size`; a chunk begins with the last pieces of the one before, `overlap` characters at most."""
+    chunks, held, n = [], [], 0
+    for p in pieces_of(text or "", size, SEPARATORS):
+        if held and n + len(p) > size:
+            chunks.append("".join(held))
+            while held and (n > overlap or n + len(p) > size):
+                n -= len(held.pop(0))
+        held.append(p)
+        n += len(p)
+    return [c for c in map(str.strip, [*chunks, "".join(held)]) if c]
+
+
+def recursive_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 150) -> DataFrame:
+    """(key, chunk_index, chunk_text)."""
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, i, x) for k, t in zip(b[key], b[text], strict=True) for i, x in enumerate(recursive(t, size, overlap))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk_text"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(chunked, f"{key} {kind}, chunk_index int, chunk_text string")
+
+
+def dedupe_chunks(chunks: DataFrame, key: str, index: str, text: str) -> DataFrame:
+    """The first of equal trimmed texts of each document."""
+    return chunks.groupBy(key, F.regexp_replace(text, r"^\s+|\s+$", "").alias(text)).agg(F.min(index).alias(index))
+
+
+def with_totals(chunks: DataFrame, key: str) -> DataFrame:
+    """Adds how many chunks the document has."""
+    return chunks.join(chunks.groupBy(key).agg(F.count(F.lit(1)).alias("total_chunks")), key)

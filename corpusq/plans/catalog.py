@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import text
 from corpusq.operators import chat, chunking, evaluation, retrieval
+from corpusq.plans import ingest
 from corpusq.sources import tables
 
 
@@ -150,7 +151,7 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *ingest.QUERIES)}
 
 
 def r(x: str, places: int = 4) -> str:
@@ -191,7 +192,7 @@ def oracle_sql() -> dict:
     shared = sparse.replace("sum(n * m)::DOUBLE", "count(*)::DOUBLE")
     size = lambda k, p, unit: f"printf('%.{p}f', {r(f'bytes / {1024**k}::DOUBLE', p)}) || ' {unit}'"
     profiled = [("doc_id", "numeric"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "numeric")]
-    return {
+    own = {
         "upsert_chunks": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN d.source END AS source, (l.doc_id IS NOT NULL)::INT AS version, l.quality FROM documents d FULL JOIN labels l USING (doc_id)",
         "delete_chunks": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
         "collection_info": "SELECT label, count(*) AS points, count(embedding) AS vectors, CASE WHEN count(embedding) > 0 THEN 'green' ELSE 'empty' END AS status FROM embeddings GROUP BY label",
@@ -222,3 +223,4 @@ def oracle_sql() -> dict:
         "derive_title": "SELECT conv_id, trim(substr(arg_min(text, turn), 1, 80), ' ') AS title FROM conversations WHERE role = 'user' GROUP BY conv_id",
         "l2_norms": f"SELECT vec_id, len(embedding)::INT AS dims, {r('sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))', 6)} AS norm, abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 0.01 AS off FROM embeddings",
     }
+    return own | ingest.oracle_sql(SIGNALS, PROFILED, r, own["split_sentences"])

@@ -15,7 +15,7 @@ def plain(v):
 @pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "conversations", "events", "labels"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "events", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)
