@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import rounded, truncate
@@ -64,3 +64,53 @@ def mean_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean and population deviation without NaN, and how many values are NaN."""
     v = F.when(~F.isnan(value), F.col(value))
     return df.groupBy(group).agg(rounded(F.avg(v), 4).alias("mean"), rounded(F.stddev_pop(v), 4).alias("std"), F.count_if(F.isnan(value)).alias("n_nan"))
+
+
+#: The states of a job that do not change any more.
+TERMINAL = ("completed", "failed", "cancelled")
+
+
+def drop_terminal(status: DataFrame, state: str) -> DataFrame:
+    return status.where(~F.coalesce(F.col(state).isin(*TERMINAL), F.lit(False)))
+
+
+def progress_pct(done: Column, total: Column, embedding: bool = True, finished: Column | None = None) -> Column:
+    """From 40 to 90 while embedding, from 0 to 100 over files; 99 at most until finished."""
+    share = F.when(total > 0, done / total).otherwise(0.0)
+    pct = 40 + 50 * share if embedding else 100 * share
+    return rounded(F.least(pct, F.lit(99.0)) if finished is None else F.when(finished, 100.0).otherwise(F.least(pct, F.lit(99.0))), 2)
+
+
+def ingest_eta(status: DataFrame, now: Column) -> DataFrame:
+    """(state, done, total, started) -> seconds to go at the rate so far; null where that cannot be told."""
+    elapsed = F.unix_seconds(now) - F.unix_seconds("started")
+    can = (F.col("state") == "running") & (F.col("done") > 0) & (elapsed > 0) & (F.col("total") >= F.col("done"))
+    return status.withColumn("eta", F.when(can, F.floor((F.col("total") - F.col("done")) * elapsed / F.col("done")).cast("long")))
+
+
+def assemble_tokens(events: DataFrame, key: str, order: str, line: str) -> DataFrame:
+    """JSON lines of each request -> its text from the chunks in order, its sources from the end, its error. Lines that are
+    blank or no JSON are skipped."""
+    e = events.withColumn("_e", F.from_json(line, "type string, content string, sources string, error string")).where("_e.type is not null")
+    chunks = F.array_sort(F.collect_list(F.when(F.col("_e.type") == "chunk", F.struct(F.col(order).alias("o"), F.coalesce("_e.content", F.lit("")).alias("t")))))
+    return e.groupBy(key).agg(F.array_join(F.transform(chunks, lambda x: x.t), "").alias("text"), F.max_by(F.when(F.col("_e.type") == "end", F.col("_e.sources")), F.when(F.col("_e.type") == "end", F.col(order))).alias("sources"), F.max(F.when(F.col("_e.type") == "error", F.col("_e.error"))).alias("error"))
+
+
+def throughput(runs: DataFrame, batch: str, items: str, seconds: str) -> DataFrame:
+    return runs.groupBy(batch).agg(F.sum(items).alias("items"), rounded(F.sum(items) / F.sum(seconds), 4).alias("per_second"))
+
+
+def stream_run_summary(runs: DataFrame) -> DataFrame:
+    """(ok, first_token, tokens, text, sources, score) of runs -> counts, latencies and means in one row."""
+    text = F.coalesce("text", F.lit(""))
+    return runs.agg(
+        F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), rounded(F.avg(F.when(F.col("ok"), F.col("first_token"))), 3).alias("first_token"), F.sum("tokens").alias("tokens"),
+        F.sum(F.length(text)).alias("chars"), F.sum(F.regexp_count(text, F.lit(r"\S+"))).alias("words"), F.sum("sources").alias("sources"), rounded(F.avg("score"), 3).alias("score"),
+    )
+
+
+def load_qa_samples(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """(question, context, answers: a struct with an array of texts) -> the first n with all three, with the first answer."""
+    d = rows.withColumn("answer", F.trim(F.get(F.col("answers.text"), 0)))
+    filled = [F.trim(F.coalesce(F.col(c), F.lit(""))) != "" for c in ("question", "context", "answer")]
+    return d.where(filled[0] & filled[1] & filled[2]).orderBy(order).limit(n).drop("answers")

@@ -74,3 +74,88 @@ def summary(hits: DataFrame, k: int) -> DataFrame:
         (F.sum(rel) / k).alias("p"), F.coalesce(F.sum(rel) / F.nullif(F.sum("relevant"), F.lit(0)), F.lit(0.0)).alias("r"), F.coalesce(1 / F.min(F.when(rel == 1, F.col("rank"))), F.lit(0.0)).alias("m"), (F.sum(gain) / ideal).alias("g")
     )
     return q.agg(F.count(F.lit(1)).alias("n"), *[rounded(F.avg(c), 4).alias(n) for c, n in (("p", "precision"), ("r", "recall"), ("m", "mrr"), ("g", "ndcg"))])
+
+
+def rerank(hits: DataFrame, k: int, scorer=None) -> DataFrame:
+    """(query_id, query, chunk_id, text, score) -> the k best by a scorer of (query, text) columns, the earlier score kept
+    as cosine_score. By default the share of the query's different words that the text has."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    d = hits.withColumns({"_q": words(F.col("query")), "_t": words(F.col("text"))})
+    own = F.when(F.size("_q") > 0, F.size(F.array_intersect("_q", "_t")) / F.size("_q")).otherwise(0.0)
+    score = rounded(own if scorer is None else scorer(F.col("query"), F.col("text")), 6)
+    return top(d.withColumnRenamed("score", "cosine_score").withColumn("score", score).drop("rank", "_q", "_t"), k)
+
+
+def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int, prefetch: int = 60, constant: int = 60) -> DataFrame:
+    """Dense and sparse lists of `prefetch` each, fused by rank. (query_id, v, text) x (chunk_id, v, text)."""
+    dense = dense_topk(queries, corpus, prefetch)
+    return rrf_fuse([dense, sparse_topk(queries.select("query_id", "text"), corpus.select("chunk_id", "text"), prefetch)], k, constant)
+
+
+#: How many hits each mode of search fetches before it is cut.
+FETCH = {"basic": 5, "hybrid": 15, "hybrid_rerank": 15, "rerank": 15}
+
+
+def search(queries: DataFrame, corpus: DataFrame, mode: str, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank) in one of the modes of FETCH."""
+    if mode not in FETCH:
+        raise ValueError(f"unknown mode {mode}")
+    n = max(FETCH[mode], k)
+    hits = hybrid_topk(queries, corpus, n) if mode.startswith("hybrid") else dense_topk(queries, corpus, n)
+    if not mode.endswith("rerank"):
+        return hits.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+    pairs = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
+    return rerank(pairs, k).select("query_id", "chunk_id", "score", "rank")
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int, hybrid: bool = False) -> DataFrame:
+    """Three times as many hits as wanted, then cut."""
+    hits = hybrid_topk(queries, corpus, 3 * k) if hybrid else dense_topk(queries, corpus, 3 * k)
+    return hits.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+
+
+def to_sources(dense: DataFrame, sparse: DataFrame, corpus: DataFrame, search_type: str) -> DataFrame:
+    """Hits of either list with text, file and the score in each: 0 where it is not in the sparse one, the other score
+    where it is not in the dense one."""
+    d = dense.select("query_id", "chunk_id", F.col("score").alias("cosine")).join(sparse.select("query_id", "chunk_id", F.col("score").alias("sparse")), ["query_id", "chunk_id"], "full")
+    d = d.withColumns({"score": F.coalesce("cosine", "sparse"), "sparse": F.coalesce("sparse", F.lit(0.0))}).withColumn("cosine", F.coalesce(F.nullif("cosine", F.lit(0.0)), "score"))
+    return d.join(corpus.select("chunk_id", "text", "source_file"), "chunk_id").withColumn("search_type", F.lit(search_type))
+
+
+def binary_relevance(hits: DataFrame, answer: str, text: str) -> DataFrame:
+    """Adds `relevant`: 1 if the text holds a word of the answer with three characters or more."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(answer), F.lit(""))), r"\s+", -1), lambda w: F.length(w) >= 3)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return hits.withColumn("relevant", F.exists(words, lambda w: F.contains(low, w)).cast("int"))
+
+
+def per_query(queries: DataFrame, hits: DataFrame, k: int, truth: DataFrame | None = None) -> DataFrame:
+    """Precision, recall, reciprocal rank, DCG and NDCG at k of every query, those without hits included. Recall is over
+    what was retrieved, or over `truth` (query_id, n_relevant)."""
+    rel = F.when(F.col("rank") <= k, F.col("relevant")).otherwise(0)
+    discount = F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    d = hits.groupBy("query_id").agg(F.sum(rel).alias("_rel"), F.sum("relevant").alias("_all"), F.min(F.when(rel == 1, F.col("rank"))).alias("_first"), F.sum(rel * discount).alias("_dcg"), F.sum(discount).alias("_ideal"))
+    d = queries.select("query_id").join(d, "query_id", "left")
+    d = d.join(truth, "query_id", "left").withColumn("_all", F.col("n_relevant")) if truth is not None else d
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    return d.select("query_id", rounded(F.coalesce(F.col("_rel"), F.lit(0)) / k, 4).alias("precision"), rounded(share("_rel", "_all"), 4).alias("recall"), rounded(F.coalesce(1 / F.col("_first"), F.lit(0.0)), 4).alias("mrr"), rounded(F.coalesce("_dcg", F.lit(0.0)), 4).alias("dcg"), rounded(share("_dcg", "_ideal"), 4).alias("ndcg"))
+
+
+def spread(detail: DataFrame) -> DataFrame:
+    """Mean and population deviation of each metric over queries."""
+    names = ("precision", "recall", "mrr", "ndcg")
+    return detail.agg(F.count(F.lit(1)).alias("n"), *[rounded(F.avg(c), 3).alias(c) for c in names], *[rounded(F.stddev_pop(c), 3).alias(f"{c}_std") for c in names])
+
+
+def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 0.6, tables: int = 12, seed: int = 7) -> DataFrame:
+    """(query_id, v) x (chunk_id, v) -> nearly the k nearest by cosine: random projections of unit vectors, cut into
+    buckets of that length, in that many tables. Vectors meet where a bucket is the same; scores are exact."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = lambda d, key: d.withColumn("_n", length(F.col("v"))).where("_n > 0").select(key, array_to_vector(F.transform("v", lambda x: x.cast("double") / F.col("_n"))).alias("unit"))
+    q, c = unit(queries, "query_id"), unit(corpus, "chunk_id")
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=seed).fit(c)
+    near = model.approxSimilarityJoin(q, c, 2.0, "_far").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), "_far")
+    return top(near.select("query_id", "chunk_id", rounded(1 - F.col("_far") * F.col("_far") / 2, 6).alias("score")), k)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import text
 from corpusq.operators import chat, chunking, evaluation, retrieval
-from corpusq.plans import ingest
+from corpusq.plans import answers, ingest
 from corpusq.sources import tables
 
 
@@ -151,7 +151,7 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*QUERIES, *ingest.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *ingest.QUERIES, *answers.QUERIES)}
 
 
 def r(x: str, places: int = 4) -> str:
@@ -223,4 +223,4 @@ def oracle_sql() -> dict:
         "derive_title": "SELECT conv_id, trim(substr(arg_min(text, turn), 1, 80), ' ') AS title FROM conversations WHERE role = 'user' GROUP BY conv_id",
         "l2_norms": f"SELECT vec_id, len(embedding)::INT AS dims, {r('sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))', 6)} AS norm, abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 0.01 AS off FROM embeddings",
     }
-    return own | ingest.oracle_sql(SIGNALS, PROFILED, r, own["split_sentences"])
+    return own | ingest.oracle_sql(SIGNALS, PROFILED, r, own["split_sentences"]) | answers.oracle_sql(r, own["split_sentences"], sparse)
