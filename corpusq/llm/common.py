@@ -32,8 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths that this process has handed out.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusq/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/corpusq/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+class Tables:
+    """The tables that some steps have written for themselves, to be removed when a later step reads their result from
+    elsewhere."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def kept(self, step, *args) -> DataFrame:
+        """Runs a step and remembers what it wrote."""
+        start = len(_made)
+        out = step(*args)
+        self.paths += _made[start:]
+        return out
+
+    def remove_unless_read_by(self, df: DataFrame) -> None:
+        if not self.paths or any("/" + p.strip("/").rsplit("/", 1)[-1] + "/" in f for f in df.inputFiles() for p in self.paths):
+            return
+        spark = df.sparkSession
+        for p in self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -307,9 +307,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     sets = written(prefixes(d, bin_counts(d, size), size, percent), "sets")
-    reps = sets.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    reps = written(reps, "distinct-sets")
-    heads = written(sets.join(reps, ["s1", "s2", "n"]).where("id = rep").dropDuplicates(["id", "s1", "s2"]).select("id", "n", "map", "head"), "heads")
+    # equal sets have equal bitmaps and prefixes, so any row's will do
+    of_set = sets.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("map").alias("map"), F.first("head").alias("head"))
+    of_set = written(of_set, "distinct-sets")
+    heads, reps = of_set.select("id", "n", "map", "head"), of_set.select("s1", "s2", "n", F.col("id").alias("rep"))
     families = components(coarse_links(heads, percent))
     families = written(families.withColumnRenamed("component", "family").join(heads.select(F.col("id").alias("node"), "n"), "node"), "families")
     links = verified_links(d, families, size, percent)

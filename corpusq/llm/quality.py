@@ -44,11 +44,9 @@ def normal_line(line: Column) -> Column:
 
 
 def line_rows(df: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per line with a word: id, hash of the text, host, position, hash of the normalised line, and how many
-    words are in it."""
+    """One row per line with a word: id, host and the hash of the normalised line."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
-    d = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_of"), F.col(host).alias("_host"), F.posexplode(F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))).alias("_k", "_x"))
-    return d.select("_id", "_of", "_host", "_k", F.col("_x.h").alias("_line"), F.col("_x.n").cast("long").alias("_n"))
+    return df.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.explode(F.transform(lines, lambda x: F.xxhash64(normal_line(x)))).alias("_line"))
 
 
 def common_lines(rows: DataFrame, host_docs: DataFrame, min_docs: int, share: float) -> DataFrame:
@@ -86,15 +84,16 @@ def quality_rules(
     base = signals(docs, text)
     rows = line_rows(docs, doc_id, text, host)
     hosts = docs.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_all"))
-    common = written(common_lines(rows, hosts, min_docs, share), "common-lines").select(F.col("_host").alias("_ch"), F.col("_line").alias("_cl"))
-    hit = rows.join(common, F.col("_host").eqNullSafe(F.col("_ch")) & (F.col("_line") == F.col("_cl")))
-    hit = hit.select("_id", "_of", "_host", "_k", "_line", "_n").distinct()  # rows equal in all lose as much as one
-    gone = hit.groupBy("_id", "_of", "_host").agg(F.sum("_n").alias("removed_words"), F.collect_set("_line").alias("removed_lines"))
-    gone = written(gone.withColumnsRenamed({"_id": "__gone_id", "_of": "__gone_of", "_host": "__gone_host"}), "removed-lines")
+    # a host has at most (lines of a document / share) common lines, however many documents it has
+    common = common_lines(rows, hosts, min_docs, share).groupBy("_host").agg(F.collect_set("_line").alias("__common"))
+    common = written(common.withColumnRenamed("_host", "__common_host"), "common-lines")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    d = base.withColumn("base_failed", failed).join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_of")) & F.col(host).eqNullSafe(F.col("__gone_host")), "left")
-    d = d.drop("__gone_id", "__gone_of", "__gone_host")
-    d = d.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    d = base.withColumn("base_failed", failed).join(common, F.col(host).eqNullSafe(F.col("__common_host")), "left").drop("__common_host")
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    d = d.withColumn("__gone", F.when(F.col("__common").isNotNull(), F.filter(hashed, lambda x: F.array_contains(F.col("__common"), x.h)))).drop("__common")
+    d = d.withColumn("removed_words", F.coalesce(F.aggregate("__gone", F.lit(0).cast("long"), lambda a, x: a + x.n), F.lit(0).cast("long")))
+    d = d.withColumn("removed_lines", F.when(F.size("__gone") > 0, F.array_distinct(F.transform("__gone", lambda x: x.h)))).drop("__gone")
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words")))
 
 
@@ -102,10 +101,11 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     """The documents that pass, without the lines above the limits, in the columns of `docs`; n_chars, if there,
     follows the text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    # written first: a filter over the verdict would be pushed below the counts and repeat them inside each other
-    d = written(quality_rules(rows, **limits), "quality").where(F.col("kept"))
-    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("removed_lines"), F.xxhash64(normal_line(x))))
-    d = d.withColumn("__text", F.when(F.size("removed_lines") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).select("__row.*", "__text")
+    # written with all counts: a filter, or counts that are not asked for, would repeat them inside each other
+    d = written(quality_rules(rows, **limits).drop("doc_id", "text", "source"), "quality").where(F.col("kept"))
+    own = F.col("__row").getField(text)
+    left = F.filter(F.split(own, "\n", -1), lambda x: ~F.array_contains(F.col("removed_lines"), F.xxhash64(normal_line(x))))
+    d = d.withColumn("__text", F.when(F.size("removed_lines") > 0, F.array_join(left, "\n")).otherwise(own)).select("__row.*", "__text")
     d = d.withColumn(text, F.col("__text"))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length(text).cast("long"))
