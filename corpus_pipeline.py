@@ -1,35 +1,58 @@
-"""A corpus pipeline in five stages, each over all that the one before kept."""
+"""A corpus pipeline in five stages, each over all that the one before kept. Very long texts are taken whole; columns of
+documents other than text and n_chars stay as they are; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusq.llm import jaccard, mixing, pieces, quality, templates
-from corpusq.llm.common import documents, written
+from corpusq.llm.common import Tables, documents, written
+
+
+own_tables = Tables()
+
+
+def stage(step):
+    """A stage, which first removes what the stages before wrote for themselves: their results are tables by then. Nothing
+    is removed that `docs` still reads."""
+
+    @wraps(step)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own_tables.remove_unless_read_by(docs)
+        return own_tables.kept(step, spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go; lines above the limits go from the others."""
+    """Documents that fail the rules go; lines above the limits go from the others. Rows with null or empty text fail."""
     return quality.cleaned(docs)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go."""
+    """Lines of recurring templates go; every row stays, null texts too."""
     return templates.drop_recurring(docs).select(*docs.columns)
 
 
+@stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, by sets of five words that link from 0.8, stays."""
     return jaccard.representatives(docs, size=5, percent=80)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them."""
+    """Documents stand as often as the mix takes them; those without words are not taken."""
     return mixing.mixed(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces."""
+    """Documents with the ids of their pieces; null texts have none."""
     return pieces.encode(docs)
 
 
@@ -41,13 +64,13 @@ STAGES = [
     ("SentencePiece encoding", encode),
 ]
 
-#: SQL cannot express the classes of the join, the Pareto mix over them and the segmentation together; tests hold
-#: each stage against a brute-force version instead.
+#: SQL cannot express the classes of the join, the Pareto mix over them and the segmentation together; tests hold the
+#: stages against brute-force versions instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+    for k, (_, step) in enumerate(STAGES):
+        docs = written(step(spark, docs, sf_dir), f"stage-{k}")
     return docs
