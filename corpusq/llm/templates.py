@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, written
+from .common import SPACE, free_name, written
 
 NUMBER, ANY = "<#>", "<*>"
 #: A word with a digit; looked for only where a word begins, so that long words are read once.
@@ -18,17 +22,16 @@ def masked(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
-    """One row per line with a word: id, hash of the text, position, hash of the masked line, leaf (word count and
-    first words), and the masked line."""
-    d = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_of"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_all"))
-    d = d.select("_id", "_of", F.explode(F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("k"), masked(x).alias("m"))), lambda s: s.m != "")).alias("_s"))
-    d = d.select("_id", "_of", F.col("_s.k").alias("_k"), F.col("_s.m").alias("_m"))
+    """One row per line with a word: id, leaf (word count and first words), hash of the masked line, and the line."""
+    d = docs.select(F.col(doc_id).alias("_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_all"))
+    d = d.select("_id", F.explode(F.filter(F.transform("_all", masked), lambda m: m != "")).alias("_m"))
     n_words = F.length("_m") - F.length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
-    return d.select("_id", "_of", "_k", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
+    return d.select("_id", F.xxhash64(n_words, F.substring_index("_m", " ", depth)).alias("_leaf"), F.xxhash64("_m").alias("_line"), "_m")
 
 
 def recurring(lines: DataFrame, limit: Column, limits: DataFrame, depth: int, fixed: float) -> DataFrame:
-    """(_line) of the masked lines whose template recurs in more documents than the limit.
+    """(_leaf, _templates, _fixed) of each leaf with templates that recur in more documents than the limit: these
+    templates, and all fixed words of the leaf as 'position word'.
 
     A document, told by its id, counts once for a line, leaf, word or template, however many of its lines have it. A
     leaf of the tree is kept only if it is above the limit itself. There a word is fixed at its position if it is
@@ -63,30 +66,69 @@ def recurring(lines: DataFrame, limit: Column, limits: DataFrame, depth: int, fi
     parts = own.join(per_leaf, "_leaf", "left").select("_leaf", "_line", "_n", template.alias("_template"))
     parts = parts.where(F.size(F.filter("_template", lambda w: w != ANY)) / F.size("_template") >= fixed)
     made = written(parts.select("_leaf", "_line", "_n", F.array_join("_template", " ").alias("_template")), "templates")
-    return made.join(above(made, ["_leaf", "_template"], "may-templates"), ["_leaf", "_template"]).select("_line").distinct()
+    tops = above(made, ["_leaf", "_template"], "may-templates").groupBy("_leaf").agg(F.collect_set("_template").alias("_templates"))
+    return tops.join(per_leaf, "_leaf", "left")
+
+
+class Tree:
+    """The recurring templates by leaf, in the tasks that read the texts. Words are bytes between ASCII white space."""
+
+    has_digit = staticmethod(re.compile(rb"[0-9]").search)
+
+    def __init__(self, leaves: Iterable[tuple[list[str], list[str] | None]], depth: int) -> None:
+        self.depth = depth
+        self.leaves: dict[tuple, tuple[set, set]] = {}
+        for templates, fixed in leaves:
+            known = {tuple(t.encode().split(b" ")) for t in templates}
+            at = (f.encode().split(b" ", 1) for f in fixed or ())
+            one = next(iter(known))
+            self.leaves[len(one), one[:depth]] = known, {(int(k), w) for k, w in at}
+
+    def recurs(self, words: list[bytes]) -> bool:
+        mask = lambda ws: tuple(NUMBER.encode() if self.has_digit(w) else w for w in ws)
+        first = mask(words[: self.depth])
+        leaf = self.leaves.get((len(words), first))
+        if leaf is None:
+            return False
+        known, fixed = leaf
+        rest = mask(words[self.depth :])
+        return first + tuple(w if w == NUMBER.encode() or (i, w) in fixed else ANY.encode() for i, w in enumerate(rest, self.depth)) in known
+
+    def cut(self, texts: pa.Array) -> pa.Array:
+        """For each text: what is left of it, its lines with a word, and how many of them went."""
+        left, n_lines, n_dropped = [], [], []
+        for t in texts.cast(pa.large_binary()):
+            lines = (t.as_py() or b"").split(b"\n")
+            words = [x.split() for x in lines]
+            stay = [x for x, w in zip(lines, words) if not w or not self.recurs(w)]
+            n_lines.append(sum(map(bool, words)))
+            n_dropped.append(len(lines) - len(stay))
+            left.append(b"\n".join(stay).decode() if t.is_valid else None)
+        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["left", "n_lines", "n_dropped"])
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 2, fixed: float = 0.75, min_docs: int = 10, share: float = 0.001) -> DataFrame:
     """The documents without lines of templates that recur in more than `min_docs` documents and more than `share`
     of all of them. Adds n_lines (with a word) and n_dropped; n_chars, if there, follows the text.
 
-    Lines are parsed by a tree of fixed depth: word count, then the first `depth` words. Blank lines and
-    the other lines stay as they are. Null text: null, no lines. Rows that share an id, or have none, count as one
-    document; each loses its own lines. Rows equal in id and text are alike. Very long lines are parsed whole. Columns
-    named n_lines or n_dropped are replaced, others stay. Empty table: empty result.
+    Lines are parsed by a tree of fixed depth: word count, then the first `depth` words. The tree of all recurring
+    templates goes to every task, where each text is parsed against it, so texts are not shuffled. Each template, and
+    each fixed word, stands in more than a `share` of the documents: there are at most (mean lines of a document) /
+    share templates and (mean words of a document) / share fixed words, however many documents there are.
+
+    Blank lines and the other lines stay as they are. Null text: null, no lines. Rows that share an id, or have none,
+    count as one document; each loses its own lines. Repeated rows are alike. Very long lines are parsed whole.
+    Columns named n_lines or n_dropped are replaced, others stay. Empty table: empty result.
     """
     lines = written(line_table(docs, doc_id, text, depth), "line-table")
     limits = docs.agg(F.count(F.lit(1)).alias("_docs"))
-    common = written(recurring(lines, F.greatest(F.lit(min_docs), F.col("_docs") * share), limits, depth, fixed), "recurring-lines")
-    gone = lines.select("_id", "_of", "_k", "_line").join(common, "_line").groupBy("_id", "_of").agg(F.collect_set("_k").alias("__gone"))
-    gone = written(gone.select(F.col("_id").alias("__gone_id"), F.col("_of").alias("__gone_of"), "__gone"), "dropped-lines")
+    leaves = recurring(lines, F.greatest(F.lit(min_docs), F.col("_docs") * share), limits, depth, fixed)
+    tree = Tree(((r._templates, r._fixed) for r in leaves.collect()), depth)
+    cut = F.arrow_udf(lambda t: tree.cut(t), "left string, n_lines long, n_dropped long")
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    d = docs.select(*own).join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_of")), "left")
-    all_lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    d = d.withColumn("n_lines", F.coalesce(F.size(F.filter(all_lines, lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
-    d = d.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).withColumn("n_dropped", F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long"))
-    d = d.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
+    made = free_name(docs, "_made")
+    d = docs.select(*own, cut(text).alias(made))
+    d = d.withColumn(text, F.col(f"{made}.left")).withColumn("n_lines", F.col(f"{made}.n_lines")).withColumn("n_dropped", F.col(f"{made}.n_dropped"))
     if "n_chars" in own:
         d = d.withColumn("n_chars", F.length(text).cast("long"))
     return d.select(*own, "n_lines", "n_dropped")
