@@ -18,7 +18,8 @@ NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 def masked(line: Column) -> Column:
     """The words of a line with one space between them; those with a digit become <#>. Empty for a line without words."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, NUMBERED, NUMBER), SPACE, " "))
+    spaced = F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, SPACE, " ")).otherwise(line)
+    return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, NUMBERED, NUMBER)).otherwise(spaced))
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
@@ -61,7 +62,7 @@ def recurring(lines: DataFrame, limit: Column, limits: DataFrame, depth: int, fi
     words_at = own.select("_leaf", "_line", "_n", F.posexplode(rest).alias("_pos", "_word")).withColumn("_pos", F.col("_pos") + depth)
     fixed_words = above(words_at, ["_leaf", "_pos", "_word"], "may-words")
     # per leaf: a position has at most (lines of the leaf / limit) fixed words, which does not grow with the documents
-    per_leaf = fixed_words.groupBy("_leaf").agg(F.collect_set(F.concat_ws(" ", "_pos", "_word")).alias("_fixed"))
+    per_leaf = written(fixed_words.groupBy("_leaf").agg(F.collect_set(F.concat_ws(" ", "_pos", "_word")).alias("_fixed")), "fixed-words")
     template = F.transform(F.split("_m", " ", -1), lambda w, i: F.when((i < depth) | F.array_contains("_fixed", F.concat_ws(" ", i, w)) | (w == NUMBER), w).otherwise(F.lit(ANY)))
     parts = own.join(per_leaf, "_leaf", "left").select("_leaf", "_line", "_n", template.alias("_template"))
     parts = parts.where(F.size(F.filter("_template", lambda w: w != ANY)) / F.size("_template") >= fixed)
