@@ -98,6 +98,10 @@ class Pieces:
         return ids
 
 
+#: Bytes of text, or ids, that are worked on at once: their arrays take a multiple of that.
+SLICE = 1 << 22
+
+
 @lru_cache(maxsize=4)
 def pieces_of(proto: bytes) -> Pieces:
     return Pieces(proto)
@@ -160,12 +164,19 @@ def decoded(p: Pieces, ids: pa.ListArray) -> pa.Array:
     return pc.if_else(ids.is_valid(), text, None).cast(pa.string())
 
 
+def sliced(b: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose sizes add up to about SLICE; a row above that is a slice's last."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), b.num_rows]
+    return (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, to: str = "token_ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds the ids of each whole text, an array<int>; nothing is shuffled.
 
     The ids are those of the segmentation with the highest sum of piece scores; of equal ones, the longest last
     piece wins. White space is kept as it is, a space is put in front, characters without a piece become bytes.
-    Each batch of rows sorts its distinct marked words, so that the search runs along a trie of them.
+    Each slice of a batch sorts its distinct marked words, so that the search runs along a trie of them.
     Texts are not normalised. Null or empty texts have no ids; very long texts are encoded whole; rows that repeat are
     encoded alike. Other columns stay but for `drop`; one named like `to` is replaced.
     """
@@ -176,7 +187,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, to: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(shared.value)
-        for b in batches:
+        for b in (x for whole in batches for x in sliced(whole, pc.binary_length(whole.column(whole.num_columns - 1)))):
             yield pa.record_batch([*b.columns[:-1], encoded(p, b.column(b.num_columns - 1))], names=[*(f.name for f in keep), to])
 
     return d.mapInArrow(run, fields)
@@ -192,7 +203,7 @@ def decode(df: DataFrame, ids: str = "token_ids", model: str = MODEL, to: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(shared.value)
-        for b in batches:
+        for b in (x for whole in batches for x in sliced(whole, pc.list_value_length(whole.column(whole.num_columns - 1)))):
             yield pa.record_batch([*b.columns[:-1], decoded(p, b.column(b.num_columns - 1))], names=[*(f.name for f in keep), to])
 
     return d.mapInArrow(run, fields)
