@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, jaccard, licenses, mixing, pieces, quality, repeats, templates, warc
+from . import fingerprints, forest, html, jaccard, licenses, mixing, pieces, quality, repeats, resampling, runs, templates, warc
 from .common import documents, pages
 
 
@@ -58,6 +59,29 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def with_planted_period(doc_id, words: list[bytes]) -> list[bytes]:
+    """One in ten ids: from a word on, the text repeats the words that stand there. Texts without id stay as they are."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    unit = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (unit * -(-(n - a) // len(unit)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_summary(runs.word_runs(documents(spark, sf_dir), edit=with_planted_period))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +89,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
-    op1_suffix_array_dedup, op2_mixing, op3_license_scans, op4_html_extraction, op5_line_dedup, op6_fingerprints, op7_warc, op8_quality_rules, op9_sentencepiece, op10_ngram_jaccard_join, pipeline,
+    op1_suffix_array_dedup, op2_mixing, op3_license_scans, op4_html_extraction, op5_line_dedup, op6_fingerprints, op7_warc, op8_quality_rules, op9_sentencepiece, op10_ngram_jaccard_join,
+    op11_periodic_runs, op12_importance_resampling, op13_lsh_forest, pipeline,
 )
 
 
@@ -159,8 +184,38 @@ FROM found JOIN size ON found.t = size.k WHERE found.n >= 0.8 * size.n
 """
 
 
+#: A CRC-32 is folded over the bytes of each distinct word, by a table made from the polynomial.
+RESAMPLING_SQL = r"""
+WITH byte AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)
+  )
+), texts AS (
+  SELECT doc_id, text, false AS target FROM documents UNION ALL SELECT NULL, text, true FROM benchmark
+), split AS (
+  SELECT *, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts
+), features AS (SELECT r, target, unnest(words) AS w FROM split
+), spelt AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM features)
+), hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket FROM spelt, byte
+), counts AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM features JOIN hashed USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ())::DOUBLE + 10000) / ((s + 1)::DOUBLE * ((sum(t) OVER ())::DOUBLE + 10000))))::BIGINT AS gain FROM counts
+), sums AS (SELECT r, sum(gain)::BIGINT AS total FROM features JOIN hashed USING (w) JOIN gains USING (bucket) WHERE NOT target GROUP BY r
+), scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, CASE WHEN len(words) > 0 THEN (total - ((total % len(words)) + len(words)) % len(words)) // len(words) ELSE 0 END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS g
+  FROM split LEFT JOIN sums USING (r) WHERE NOT target
+), placed AS (
+  SELECT *, weight + g AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + g DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql = {op2_mixing: MIXING_SQL, op3_license_scans: LICENSES_SQL, op7_warc: WARC_SQL, op8_quality_rules: QUALITY_SQL, pipeline: corpus_pipeline.ORACLE_SQL}
+    sql = {op2_mixing: MIXING_SQL, op3_license_scans: LICENSES_SQL, op7_warc: WARC_SQL, op8_quality_rules: QUALITY_SQL, op12_importance_resampling: RESAMPLING_SQL, pipeline: corpus_pipeline.ORACLE_SQL}
     return {f.__name__: s for f, s in sql.items() if s}
