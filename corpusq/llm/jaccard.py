@@ -324,10 +324,14 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row of each class of near duplicates, the one with the smallest id (null ids come last; of equal ids the
     smallest hash of the text, then any one). Rows without words all stay.
 
-    Rows are told apart by a key of their own, so rows that share an id or have none are members like others.
+    Where ids are null or repeated, rows are told apart by a number, in a copy of the table, and are members like others.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    named = near_duplicates(rows, "__row", text, **how).select("__row", F.col("component_id").alias("__class"))
+    key, rows = doc_id, docs
+    if not docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where(F.col(doc_id).isNull() | (F.col("n") > 1)).isEmpty():
+        key, rows = "__row", written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    named = near_duplicates(rows, key, text, **how).select(F.col(key).alias("__key"), F.col("component_id").alias("__class"))
+    if key == doc_id:  # the class is named by its smallest id
+        return rows.join(named.where("__key = __class").select(F.col("__key").alias("__row")), F.col(doc_id) == F.col("__row"), "left_semi")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col("__row").alias("row"))
-    first = rows.select("__row", order.alias("__order")).join(named, "__row").groupBy("__class").agg(F.min("__order").alias("__first"))
+    first = rows.select("__row", order.alias("__order")).join(named, F.col("__row") == F.col("__key")).groupBy("__class").agg(F.min("__order").alias("__first"))
     return rows.join(first.select(F.col("__first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
