@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusq.functions.text import rounded
-
-
-#: Vectors of a block; two blocks are compared in one group.
-BLOCK = 2000
+from corpusq.operators import topk
+from corpusq.shared import written
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -17,39 +16,50 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, own: bool = True, block: int = BLOCK) -> DataFrame:
-    """(query_id, v) x (chunk_id, v) -> the k nearest by cosine.
+def arrow_kind(df: DataFrame, column: str):
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def of_dims(df: DataFrame, dims: int) -> DataFrame:
+    return df.where(F.size("v") == dims)
 
-    Both sides are dealt into blocks of about `block` rows, and each pair of blocks meets in one group, so neither
-    side has to fit into a task. own=False leaves out chunks whose id is the query's.
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, own: bool = True) -> DataFrame:
+    """(query_id, v) x (chunk_id, v) -> the k nearest by cosine, ties by chunk_id.
+
+    Batches of the corpus are multiplied with the matrix of the queries, and each task hands on the k best of each query.
+    own=False leaves out chunks whose id is the query's. Queries must have one number of dimensions; chunks of another, and
+    vectors that are null or without length, are in no list.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    nq, nc = (max(1, -(-d.count() // block)) for d in (queries, corpus))
-    dealt = lambda d, key, n, mine, other, m: d.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    q = dealt(queries.select("query_id", F.col("v").alias("qv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("qn")), "query_id", nq, "_qb", "_cb", nc)
-    c = dealt(corpus.select("chunk_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("n")), "chunk_id", nc, "_cb", "_qb", nq)
-    met = q.join(c, ["_qb", "_cb"])
-    met = met if own else met.where(F.col("query_id") != F.col("chunk_id"))
-    s = met.select("query_id", "chunk_id", rounded(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), 6).alias("score"))
-    return top(s.where(F.col("score") >= threshold) if threshold else s, k)
+    q = queries.select("query_id", "v").where("v is not null")
+    n, least, most = q.agg(F.count(F.lit(1)), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise ValueError(f"queries of {least} to {most} dimensions")
+    c = of_dims(corpus.select("chunk_id", "v"), most or 0)
+    kind = arrow_kind(c, "chunk_id")
+    return top(topk.best_in_blocks(q, c, lambda t: topk.Dense(t, kind, k, threshold, own), n * ((most or 0) * 8 + 16)), k)
 
 
-def terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return df.select(F.col(key), F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("weight"))
+def words_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    return df.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
 
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Dot product over shared terms: an equi-join on the term, summed per pair."""
-    q, c = terms(queries, "query_id"), terms(corpus, "chunk_id").withColumnRenamed("weight", "w")
-    s = q.join(c, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).cast("double").alias("score"))
-    return top(s, k)
+def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, once: bool = False) -> DataFrame:
+    """(query_id, text) x (chunk_id, text) -> the k best by the dot product of their word counts, ties by chunk_id; with
+    `once` by how many different words they share. Chunks that share no word are in no list.
+
+    Chunks are scored in the task that has their text, in order of impact, and blocks of them are skipped whose highest
+    weights cannot reach a query's k-th score; no word is a key, so a frequent one is no task of its own.
+    """
+    q, c = words_of(queries, "query_id"), words_of(corpus, "chunk_id")
+    size = q.agg(F.sum(F.length(F.array_join("words", " ")) * 2 + 16)).first()[0] or 0
+    kind = arrow_kind(c, "chunk_id")
+    return top(topk.best_in_blocks(q, c, lambda t: topk.Sparse(t, kind, k, once), size), k)
 
 
 def shared_terms_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """How many different terms a query and a chunk share."""
-    s = terms(queries, "query_id").join(terms(corpus, "chunk_id").drop("weight"), "term")
-    return top(s.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)
+    return sparse_topk(queries, corpus, k, once=True)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -96,16 +106,27 @@ def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int, prefetch: int = 6
 FETCH = {"basic": 5, "hybrid": 15, "hybrid_rerank": 15, "rerank": 15}
 
 
-def search(queries: DataFrame, corpus: DataFrame, mode: str, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) in one of the modes of FETCH."""
-    if mode not in FETCH:
-        raise ValueError(f"unknown mode {mode}")
-    n = max(FETCH[mode], k)
-    hits = hybrid_topk(queries, corpus, n) if mode.startswith("hybrid") else dense_topk(queries, corpus, n)
-    if not mode.endswith("rerank"):
-        return hits.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
-    pairs = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
-    return rerank(pairs, k).select("query_id", "chunk_id", "score", "rank")
+def search(queries: DataFrame, corpus: DataFrame, modes: str | list[str], k: int, prefetch: int = 60, constant: int = 60, scorer=None) -> DataFrame:
+    """(query_id, chunk_id, score, rank, mode) in one or several of the modes of FETCH.
+
+    All modes share one dense and one sparse list: the n nearest are the first n of a longer list.
+    """
+    modes = [modes] if isinstance(modes, str) else list(modes)
+    if unknown := set(modes) - set(FETCH):
+        raise ValueError(f"unknown modes {sorted(unknown)}")
+    hybrid = any(m.startswith("hybrid") for m in modes)
+    depth = max(prefetch if hybrid else 0, *(max(FETCH[m], k) for m in modes))
+    dense = written(dense_topk(queries, corpus, depth), "dense-list")
+    fused = written(rrf_fuse([dense.where(F.col("rank") <= prefetch), sparse_topk(queries.select("query_id", "text"), corpus.select("chunk_id", "text"), prefetch)], depth, constant), "fused-list") if hybrid else None
+    texts = queries.select("query_id", F.col("text").alias("query")), corpus.select("chunk_id", "text")
+    out = None
+    for m in modes:
+        hits = (fused if m.startswith("hybrid") else dense).where(F.col("rank") <= max(FETCH[m], k))
+        if m.endswith("rerank"):
+            hits = rerank(hits.join(texts[0], "query_id").join(texts[1], "chunk_id"), k, scorer)
+        hits = hits.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank", F.lit(m).alias("mode"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, k: int, hybrid: bool = False) -> DataFrame:
@@ -145,17 +166,3 @@ def spread(detail: DataFrame) -> DataFrame:
     """Mean and population deviation of each metric over queries."""
     names = ("precision", "recall", "mrr", "ndcg")
     return detail.agg(F.count(F.lit(1)).alias("n"), *[rounded(F.avg(c), 3).alias(c) for c in names], *[rounded(F.stddev_pop(c), 3).alias(f"{c}_std") for c in names])
-
-
-def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 0.6, tables: int = 12, seed: int = 7) -> DataFrame:
-    """(query_id, v) x (chunk_id, v) -> nearly the k nearest by cosine: random projections of unit vectors, cut into
-    buckets of that length, in that many tables. Vectors meet where a bucket is the same; scores are exact."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = lambda d, key: d.withColumn("_n", length(F.col("v"))).where("_n > 0").select(key, array_to_vector(F.transform("v", lambda x: x.cast("double") / F.col("_n"))).alias("unit"))
-    q, c = unit(queries, "query_id"), unit(corpus, "chunk_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=seed).fit(c)
-    near = model.approxSimilarityJoin(q, c, 2.0, "_far").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), "_far")
-    return top(near.select("query_id", "chunk_id", rounded(1 - F.col("_far") * F.col("_far") / 2, 6).alias("score")), k)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusq import shared
 from corpusq.functions.text import rounded
-from corpusq.operators import chat, evaluation, judging, retrieval, vectors
+from corpusq.operators import ann, chat, evaluation, judging, retrieval, vectors
 from corpusq.streaming import ingest as stream
 
 
@@ -77,12 +78,7 @@ def rerank(spark, sf_dir):
 
 def search(spark, sf_dir):
     """All modes side by side."""
-    q, c = chunks(spark, sf_dir)
-    out = None
-    for mode in retrieval.FETCH:
-        hits = retrieval.search(q, c, mode, 5).withColumn("mode", F.lit(mode))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    return retrieval.search(*chunks(spark, sf_dir), list(retrieval.FETCH), 5)
 
 
 def to_sources(spark, sf_dir):
@@ -92,7 +88,10 @@ def to_sources(spark, sf_dir):
 
 
 def ann_topk(spark, sf_dir):
-    return named(retrieval.ann_topk(*chunks(spark, sf_dir), 10))
+    """The nearest of all vectors to every vector whose id is divisible by 20, by the index."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    at = ann.build(v, shared.new_path(spark, "cells"))
+    return named(ann.ann_topk(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), at, 10))
 
 
 def judged_hits(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusq import shared
 from corpusq.functions import text
 from corpusq.operators import chat, chunking, evaluation, retrieval
 from corpusq.plans import answers, ingest
@@ -101,8 +102,9 @@ def feedback_summary(spark, sf_dir):
 def build_context(spark, sf_dir):
     """The ten best documents of each benchmark item by shared terms, as a context block with their quality and profile."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), "text")
-    hits = text.signals(sparse_topk(spark, sf_dir).join(d, "chunk_id"))
-    return evaluation.build_context(hits, quality="quality_score")
+    hits = shared.written(sparse_topk(spark, sf_dir), "hits")
+    of_hits = shared.written(text.signals(d.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")), "hit-signals")  # once for each document
+    return evaluation.build_context(hits.join(of_hits, "chunk_id"), quality="quality_score")
 
 
 def upsert_chunks(spark, sf_dir):
