@@ -37,7 +37,8 @@ def buckets_of(texts: pa.Array, n_max: int, buckets: int) -> tuple[np.ndarray, n
     the pair of the run of n - 1 before it and one more index, so only distinct pairs are hashed, each from the hash
     of its first part.
     """
-    split = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string())), BETWEEN)
+    low = pc.ascii_lower(texts).cast(pa.large_string())  # in this order: a cast slice begins elsewhere, which the kernel overlooks
+    split = pc.split_pattern_regex(low, BETWEEN)
     sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
     flat = pc.list_flatten(split)
     filled = pc.greater(pc.binary_length(flat), 0)  # texts that begin or end between words give empty ones

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from corpusq.llm import resampling
@@ -49,9 +50,22 @@ def corpus():
     return docs, [own(50) for _ in range(12)] + [None, ""]
 
 
+def test_slices_hold_their_own_words(monkeypatch):
+    monkeypatch.setattr(resampling, "SLICE", 700)
+    texts = [t for _, t in corpus()[0]]
+    column, at = pa.array(["é", *texts]).slice(1), 0
+    for part in resampling.slices(column):
+        of, features, text_of, words = resampling.buckets_of(part, 1, 10_000)
+        for k in range(len(part)):
+            low = re.sub("[A-Z]", lambda m: m[0].lower(), texts[at + k] or "")
+            want = [zlib.crc32(w.encode()) % 10_000 for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+            assert of[features[text_of == k]].tolist() == want and words[k] == len(want)
+        at += len(part)
+    assert at == len(texts)
+
+
 @pytest.mark.parametrize("how", [{}, {"n_max": 3, "percent": 30}, {"n_max": 2, "buckets": 50, "seed": 7, "least_words": 0}])
-def test_agrees_with_plain_python(spark, monkeypatch, how):
-    monkeypatch.setattr(resampling, "SLICE", 5000)
+def test_agrees_with_plain_python(spark, how):
     docs, target = corpus()
     d = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, score int, n_words string").repartition(3)
     t = spark.createDataFrame([(x,) for x in target], "text string")
