@@ -90,9 +90,11 @@ def split_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def split_code(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_code: bool = False) -> DataFrame:
     """One row per segment, with whether it is code (fenced or inline)."""
-    marked = F.regexp_replace(F.col(text), CODE, "\x01\x02$1\x01")
-    d = docs.select(key, F.posexplode(trimmed_parts(F.split(marked, "\x01", -1))).alias("segment_index", "_s"))
-    d = d.select(key, "segment_index", F.startswith("_s", F.lit("\x02")).alias("is_code"), F.replace("_s", F.lit("\x02"), F.lit("")).alias("segment"))
+    between, code = F.split(F.col(text), CODE, -1), F.regexp_extract_all(F.col(text), F.lit(CODE), F.lit(1))
+    d = docs.select(key, between.alias("_b"), code.alias("_c"))
+    segment = lambda is_code, x: F.struct(F.lit(is_code).alias("is_code"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("segment"))
+    in_turn = F.flatten(F.transform(F.arrays_zip("_b", "_c"), lambda x: F.array(segment(False, x._b), segment(True, x._c))))
+    d = d.select(key, F.posexplode(F.filter(in_turn, lambda x: x.segment != "")).alias("segment_index", "_s")).select(key, "segment_index", "_s.is_code", "_s.segment")
     return d.where("not is_code") if drop_code else d
 
 

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def norm(v: Column) -> Column:
@@ -58,16 +60,30 @@ def embed_dense(df: DataFrame, key: str, text: str, embedder: Callable[[list[str
     return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, vector array<double>")
 
 
+def with_dense(df: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray] | None = None, to: str = "dense") -> DataFrame:
+    """The rows with the vector of their text; null text is an empty one."""
+    embed = embedder or hashing_embedder()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = embed([t or "" for t in b.column(text).to_pylist()])
+            if len(made) != b.num_rows:
+                raise ValueError(f"{len(made)} vectors for {b.num_rows} texts")
+            yield pa.record_batch([*b.columns, pa.array([np.asarray(v, float).tolist() for v in made], pa.list_(pa.float64()))], names=[*b.schema.names, to])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(to, ArrayType(DoubleType()))]))
+
+
 def term_index(term: Column) -> Column:
     """A term's place among 2^32."""
     return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
 
 
 def encode_sparse(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, indices, values) of term counts, by index; null for texts without terms."""
+    """(key, indices, values) of term counts, by index; null for texts without terms. Terms of one index count together."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    d = df.select(key, F.explode_outer(words).alias("term")).groupBy(key, "term").agg(F.count("term").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct(term_index(F.col("term")).alias("i"), "n"))))
+    d = df.select(key, F.explode_outer(words).alias("term")).groupBy(key, term_index(F.col("term")).alias("i")).agg(F.count("term").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "n"))))
     d = d.groupBy(key).agg(pairs.alias("_p"))
     have = F.size("_p") > 0
     return d.select(key, F.when(have, F.transform("_p", lambda x: x.i)).alias("indices"), F.when(have, F.transform("_p", lambda x: x.n)).alias("values"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusq import shared
 from corpusq.functions.text import rounded
 from corpusq.operators import ann, chat, evaluation, judging, retrieval, vectors
+from corpusq.sources.snapshots import ChunkTable
 from corpusq.streaming import ingest as stream
 
 
@@ -44,10 +45,11 @@ def encode_sparse(spark, sf_dir):
 
 
 def rebuild_with_sparse(spark, sf_dir):
-    """All points with their dense vectors, and sparse ones made anew from the texts."""
-    c = chunks(spark, sf_dir)[1]
-    d = c.join(vectors.encode_sparse(c, "chunk_id", "text"), "chunk_id")
-    return d.select("chunk_id", F.size("v").alias("dims"), F.coalesce(F.size("indices"), F.lit(0)).alias("terms"), "source_file")
+    """A table of points with their dense vectors, rewritten with sparse ones made from the texts, and read back."""
+    t = ChunkTable(spark, shared.new_path(spark, "points"), "chunk_id")
+    t.merge(chunks(spark, sf_dir)[1])
+    t.rewrite(lambda d: d.join(vectors.encode_sparse(d, "chunk_id", "text"), "chunk_id", "left"))
+    return t.read().select("chunk_id", F.size("v").alias("dims"), F.coalesce(F.size("indices"), F.lit(0)).alias("terms"), "source_file")
 
 
 def bm25_weights(spark, sf_dir):
@@ -272,19 +274,29 @@ def build_prompt(spark, sf_dir):
     return chat.build_prompt(d.select(F.col("conv_id").alias("query_id"), F.when(F.col("conv_id") % 2 == 0, "Be brief.").alias("agent_prompt"), "history", F.col("text").alias("context"), F.col("title").alias("question")))
 
 
-def ingest_stream(spark, sf_dir):
-    """All documents through a stream into a chunk table, and what stands in it then."""
+def through_stream(spark, sf_dir, chunks=None):
     source = f"{sf_dir}/documents.parquet"
-    at = stream.shared_path(spark, "stream")
+    at = shared.new_path(spark, "stream")
     named = source[:-1] + "[t]"  # as a pattern, the table may be a file or a folder
-    stream.ingest_stream(stream.arriving(spark, named, spark.read.parquet(source).schema), f"{at}/chunks", f"{at}/checkpoint").awaitTermination()
-    return stream.read_chunks(spark, f"{at}/chunks").select("doc_id", "sentence_index", "sentence")
+    t = ChunkTable(spark, f"{at}/chunks", "doc_id")
+    stream.ingest_stream(stream.arriving(spark, named, spark.read.parquet(source).schema), t, f"{at}/checkpoint", chunks=chunks).awaitTermination()
+    return t.read()
+
+
+def ingest_stream(spark, sf_dir):
+    """All documents through a stream into a chunk table, and what stands in it then."""
+    return through_stream(spark, sf_dir).select("doc_id", "sentence_index", "sentence")
+
+
+def ingest_scored(spark, sf_dir):
+    """All documents through a stream that scores, chunks and vectorises them, and the chunk table then."""
+    return through_stream(spark, sf_dir, stream.scored_chunks)
 
 
 QUERIES = (
     l2_normalize, dimension_check, embed_dense, encode_sparse, rebuild_with_sparse, bm25_weights, model_mismatch, score_threshold, hybrid_topk, retrieve, rerank, search, to_sources, ann_topk, binary_relevance, retrieval_detail, retrieval_spread, true_recall,
     load_qa_samples, format_contexts, judge_requests, parse_judge_score, context_precision, judge_summary, evaluate_matrix, matrix_table, best_in_column, compare_models, throughput, stream_run_summary,
-    active_status, progress_pct, ingest_eta, assemble_tokens, list_sessions, get_messages, upsert_feedback, session_with_feedback, delete_session, update_message, config_snapshot, build_prompt, ingest_stream,
+    active_status, progress_pct, ingest_eta, assemble_tokens, list_sessions, get_messages, upsert_feedback, session_with_feedback, delete_session, update_message, config_snapshot, build_prompt, ingest_stream, ingest_scored,
 )
 
 
@@ -314,7 +326,7 @@ def oracle_sql(r, sentences: str, sparse: str) -> dict:
     return {
         "l2_normalize": f"SELECT vec_id, {r(f'CASE WHEN abs(n - 1) > 0.01 AND n >= 1e-10 THEN 1 ELSE n END', 6)} AS norm, {r('v[1] / CASE WHEN abs(n - 1) > 0.01 AND n >= 1e-10 THEN n ELSE 1 END', 6)} AS first FROM (SELECT *, {norm} AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))",
         "dimension_check": "SELECT len(embedding)::INT AS dims, count(*) AS n, count(*) OVER () = 1 AS all_same FROM embeddings GROUP BY 1",
-        "encode_sparse": f"WITH t AS (SELECT doc_id, term, count(*) AS n, ('0x' || substr(md5(term), 1, 8))::BIGINT AS i FROM (SELECT doc_id, unnest({words.format('text')}) AS term FROM documents) GROUP BY ALL) SELECT d.doc_id, s.indices, s.values FROM documents d LEFT JOIN (SELECT doc_id, string_agg(i, ',' ORDER BY i, n) AS indices, string_agg(n, ',' ORDER BY i, n) AS values FROM t GROUP BY doc_id) s USING (doc_id)",
+        "encode_sparse": f"WITH t AS (SELECT doc_id, count(*) AS n, ('0x' || substr(md5(term), 1, 8))::BIGINT AS i FROM (SELECT doc_id, unnest({words.format('text')}) AS term FROM documents) GROUP BY ALL) SELECT d.doc_id, s.indices, s.values FROM documents d LEFT JOIN (SELECT doc_id, string_agg(i, ',' ORDER BY i, n) AS indices, string_agg(n, ',' ORDER BY i, n) AS values FROM t GROUP BY doc_id) s USING (doc_id)",
         "rebuild_with_sparse": f"WITH {c} SELECT chunk_id, len(v)::INT AS dims, len(list_distinct({words.format('text')}))::INT AS terms, source_file FROM c",
         "bm25_weights": f"WITH d AS (SELECT doc_id, {words.format('text')} AS w FROM documents), a AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d), t AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term) SELECT doc_id, term, {r('ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l / mean))', 6)} AS weight FROM t JOIN f USING (term), a",
         "model_mismatch": "SELECT 'model-' || (label % 3) AS embedding_model, count(*) AS n, label % 3 <> 1 AS mismatch FROM embeddings GROUP BY ALL",

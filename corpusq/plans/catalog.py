@@ -9,6 +9,7 @@ from corpusq.functions import text
 from corpusq.operators import chat, chunking, evaluation, retrieval
 from corpusq.plans import answers, ingest
 from corpusq.sources import tables
+from corpusq.sources.snapshots import ChunkTable
 
 
 def table(spark, sf_dir, name):
@@ -108,14 +109,19 @@ def build_context(spark, sf_dir):
 
 
 def upsert_chunks(spark, sf_dir):
-    """Documents with a label come again with it; the newer version of each stays."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(0).alias("version"))
-    again = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("version"), "quality")
-    return tables.upsert(d, again, "doc_id", "version").select("doc_id", "source", "version", "quality")
+    """A table of the documents; those with a label come again with it and take the place of what is there."""
+    t = ChunkTable(spark, shared.new_path(spark, "chunks"), "doc_id")
+    t.merge(table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(0).alias("version")))
+    t.merge(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("version"), "quality"), 1)
+    return t.read().select("doc_id", "source", "version", "quality")
 
 
 def delete_chunks(spark, sf_dir):
-    return tables.delete_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select("doc_id", "source")
+    """A table of the documents after those of a label are taken away."""
+    t = ChunkTable(spark, shared.new_path(spark, "chunks"), "doc_id")
+    t.merge(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    t.delete(table(spark, sf_dir, "labels").where("toxic = 1"), 1)
+    return t.read()
 
 
 def collection_info(spark, sf_dir):

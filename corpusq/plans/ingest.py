@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusq import shared
 from corpusq.functions import characters, text
 from corpusq.operators import chunking, evaluation, layout
-from corpusq.sources import datasets, tables
+from corpusq.sources import datasets
+from corpusq.sources.snapshots import ChunkTable
 
 
 def table(spark, sf_dir, name):
@@ -64,18 +66,28 @@ def admit_by_quota(spark, sf_dir):
 
 
 def write_chunks(spark, sf_dir):
-    """The names under which sentences are written."""
-    c = chunking.sentences(documents(spark, sf_dir))
-    return datasets.chunk_names(c, "doc_id", "sentence_index").select("doc_id", "sentence_index", "name")
+    """Sentences written under names of their own, a folder for each source, and read back."""
+    at = shared.new_path(spark, "named-chunks")
+    c = chunking.sentences(documents(spark, sf_dir)).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    datasets.write_chunks(c, at, "source", "doc_id", "sentence_index")
+    return spark.read.parquet(at).select("doc_id", "sentence_index", "name")
 
 
 def write_splits(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy(datasets.split_of("doc_id").alias("split")).agg(F.count(F.lit(1)).alias("rows"))
+    """Documents written in splits, and the rows of each read back."""
+    at = shared.new_path(spark, "splits")
+    datasets.write_splits(documents(spark, sf_dir).withColumn("part", datasets.split_of("doc_id")), at, "part")
+    rows = [datasets.read_split(spark, at, name).agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("rows")) for name in ("train", "validation", "test")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def delete_dataset(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return datasets.delete_datasets(d, d.agg(F.min("source").alias("source")), "source").select("doc_id", "source")
+    """A table of the documents after those of the first source are taken away."""
+    t = ChunkTable(spark, shared.new_path(spark, "chunks"), "doc_id")
+    d = documents(spark, sf_dir).select("doc_id", "source")
+    t.merge(d)
+    t.delete(d.join(d.agg(F.min("source").alias("source")), "source"), 1)
+    return t.read()
 
 
 def list_datasets(spark, sf_dir):
@@ -251,7 +263,7 @@ def oracle_sql(signals: str, profiled: str, r, sentences: str) -> dict:
         "combine_columns": "SELECT doc_id, combined FROM (SELECT doc_id, concat_ws(chr(10), CASE WHEN trim(source) <> '' THEN 'Source: ' || trim(source) END, CASE WHEN trim(lang) <> '' THEN 'Lang: ' || trim(lang) END, CASE WHEN trim(text) <> '' THEN 'Text: ' || trim(text) END, 'N Chars: ' || n_chars) AS combined FROM documents) WHERE combined <> ''",
         "project_metadata": "SELECT doc_id, source, lang, n_chars::VARCHAR AS n_chars, 'unknown' AS _source_file FROM documents",
         "filter_supported": f"WITH {FILES} SELECT doc_id, path FROM f WHERE doc_id % 4 <> 2",
-        "admit_by_quota": f"WITH {FILES} SELECT doc_id, bytes <= 20000 AND sum(CASE WHEN bytes <= 20000 THEN bytes ELSE 0 END) OVER (PARTITION BY dataset ORDER BY doc_id) <= 60000 AS admitted FROM f",
+        "admit_by_quota": f"WITH RECURSIVE {FILES}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY doc_id) AS k FROM f), a AS (SELECT dataset, doc_id, k, bytes <= 20000 AS admitted, CASE WHEN bytes <= 20000 THEN bytes ELSE 0 END AS held FROM o WHERE k = 1 UNION ALL SELECT o.dataset, o.doc_id, o.k, o.bytes <= 20000 AND held + o.bytes <= 60000, CASE WHEN o.bytes <= 20000 AND held + o.bytes <= 60000 THEN held + o.bytes ELSE held END FROM a JOIN o ON a.dataset IS NOT DISTINCT FROM o.dataset AND o.k = a.k + 1) SELECT doc_id, admitted FROM a",
         "write_chunks": f"SELECT doc_id, sentence_index, printf('%d.chunk-%04d', doc_id, sentence_index) AS name FROM ({sentences})",
         "write_splits": "SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split, count(*) AS rows FROM documents GROUP BY 1",
         "delete_dataset": "SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM (SELECT min(source) FROM documents)",

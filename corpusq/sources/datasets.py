@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructField, StructType
+
+from corpusq.sources.snapshots import Snapshots
 
 #: File formats, and the columns that hold text, in order of preference.
 FORMATS = ("parquet", "json", "jsonl", "csv")
@@ -20,10 +25,24 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return f.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
 
 
+def without_corrupt_files(d: DataFrame, bad: str = "_corrupt_record") -> DataFrame | None:
+    """Rows of JSON files all of whose lines can be read; None where no file has any. `d` is as read, with `_metadata`."""
+    if bad not in d.columns:
+        return d
+    good = [c for c in d.columns if c not in (bad, "_source_file", "_metadata")]
+    if not good:
+        return None
+    file = F.col("_metadata.file_path")
+    # a bad line is only seen if more columns than its own are read
+    others = F.sum(sum((F.col(f"`{c}`").isNotNull().cast("int") for c in good), F.lit(0)))
+    corrupt = d.withColumn("_file", file).groupBy("_file").agg(F.max(F.col(bad).isNotNull()).alias("_bad"), others.alias("_others")).where("_bad and _others >= 0").select("_file")
+    return d.withColumn("_file", file).join(corrupt, "_file", "left_anti").drop("_file", bad)
+
+
 def read_dataset(spark: SparkSession, path: str, split: str = "train", row_limit: int | None = None) -> DataFrame:
     """All files of the known formats below `path`/`split`, or `path` if there is no such folder, united by column name
-    with `_source_file`. Corrupt files are skipped; nothing readable is an error. With a limit, the first rows in order
-    of file name and place."""
+    with `_source_file`. Files that cannot be read, and JSON files with a line that cannot, are skipped whole; nothing
+    readable is an error. With a limit, the first rows in order of file name and place."""
     try:
         at = f"{path}/{split}"
         found = {r.ext for r in listing(spark, at).select("ext").distinct().collect()}
@@ -36,8 +55,13 @@ def read_dataset(spark: SparkSession, path: str, split: str = "train", row_limit
             reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ext}").option("ignoreCorruptFiles", "true")
             reader = reader.format("json").option("multiLine", ext == "json") if ext in ("json", "jsonl") else reader.format(ext)
             reader = reader.option("header", "true").option("inferSchema", "true") if ext == "csv" else reader
-            d = reader.load(at)
-            frames.append(d.select(*[F.col(f"`{c}`") for c in d.columns], F.col("_metadata.file_name").alias("_source_file")))
+            try:
+                d = reader.load(at)
+            except AnalysisException:  # no file of this format tells its columns
+                continue
+            d = d.select(*[F.col(f"`{c}`") for c in d.columns], F.col("_metadata.file_name").alias("_source_file"), "_metadata")
+            if (readable := without_corrupt_files(d)) is not None:
+                frames.append(readable.drop("_metadata"))
     if not frames:
         raise ValueError(f"no readable files in {path}")
     out = frames[0]
@@ -103,12 +127,39 @@ def filter_supported(files: DataFrame, path: str, extensions: tuple[str, ...]) -
     return files.where(F.lower(F.regexp_extract(path, r"\.([^./?#]+)$", 1)).isin(*extensions))
 
 
-def admit_by_quota(files: DataFrame, dataset: str, size: str, arrival: str, max_file: int = MAX_FILE, max_total: int = MAX_DATASET) -> DataFrame:
-    """Adds `admitted`: false for a file above `max_file`, and from where the sizes of a dataset's other files, in order
-    of arrival, go beyond `max_total`."""
-    fits = F.col(size) <= max_file
-    upto = F.sum(F.when(fits, F.col(size)).otherwise(0)).over(Window.partitionBy(dataset).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0))
-    return files.withColumn("admitted", fits & (upto <= max_total))
+def admit_by_quota(files: DataFrame, dataset: str, size: str, arrival: str, max_file: int = MAX_FILE, max_total: int = MAX_DATASET, existing: DataFrame | None = None) -> DataFrame:
+    """Adds `admitted`: whether a file has at most `max_file` bytes and, with those that its dataset holds by then, at most
+    `max_total`. A file that is not admitted takes no room. `existing` (dataset, total) are bytes held before.
+
+    Files come in order of arrival (of equal ones the smaller first), which one task follows for each dataset, row by row:
+    what it holds is one number. Null sizes count as 0.
+    """
+    total = free_name(files, "_held")
+    held = existing.select(F.col(dataset).alias("_of"), F.col("total").cast("long").alias(total)) if existing is not None else None
+    d = files.join(held, F.col(dataset).eqNullSafe(F.col("_of")), "left").drop("_of") if held is not None else files.withColumn(total, F.lit(0).cast("long"))
+    columns = files.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sum_ = object(), 0
+        for b in batches:
+            admitted = []
+            for of, n, before in zip(*(b.column(c).to_pylist() for c in (dataset, size, total)), strict=True):
+                if of != now:
+                    now, sum_ = of, before or 0
+                n = n or 0
+                admitted.append(n <= max_file and sum_ + n <= max_total)
+                sum_ += n if admitted[-1] else 0
+            yield pa.record_batch([b.column(c) for c in columns] + [pa.array(admitted, pa.bool_())], names=[*columns, "admitted"])
+
+    kinds = StructType([*files.schema.fields, StructField("admitted", BooleanType())])
+    return d.repartition(dataset).sortWithinPartitions(dataset, arrival, size).mapInArrow(fold, kinds)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores behind it one that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def chunk_names(chunks: DataFrame, stem: str, index: str) -> DataFrame:
@@ -164,11 +215,18 @@ def split_of(key: str, shares: tuple[tuple[str, int], ...] = (("train", 8), ("va
 
 
 def write_splits(df: DataFrame, path: str, split: str | None = None, wanted: list[str] | None = None) -> DataFrame:
-    """One folder per split (`train` if there is no such column); (split, rows) of what was written. A wanted split that
-    is not there is an error, raised before anything is replaced: the target is replaced after all splits are written."""
+    """One folder per split (`train` if there is no such column); (split, rows) of what was written. Splits that are not
+    null take the place of all that stood at `path`, as one version: a write that fails leaves what was there. A wanted
+    split that is not there is an error."""
     d = df.withColumn("split", F.col(split) if split else F.lit("train"))
     counts = d.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
     if missing := set(wanted or ()) - {r.split for r in counts.select("split").collect()}:
         raise ValueError(f"no such splits: {sorted(missing)}")
-    d.write.mode("overwrite").partitionBy("split").parquet(path)  # the committer moves files when all tasks are done
+    target = Snapshots(df.sparkSession, path, "split")
+    target.put(d, {}, target.version() + 1)
     return counts
+
+
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The rows of a split in the latest version of what `write_splits` has written."""
+    return Snapshots(spark, path, "split").parts(wanted={split})

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusq.operators import chunking
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; where Spark runs in one process, a temporary one may do."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(at or tempfile.mkdtemp(prefix='corpusq-')).rstrip('/')}/corpusq/{name}-{uuid.uuid4().hex}"
+from corpusq.functions import text as quality
+from corpusq.operators import chunking, vectors
+from corpusq.sources.snapshots import ChunkTable
 
 
 def arriving(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
@@ -25,22 +18,24 @@ def arriving(spark: SparkSession, path: str, schema, files: int = 100) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def ingest_stream(docs: DataFrame, target: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
-    """Start: documents of each batch are split and written to a folder of the batch's own. A batch that comes again
-    after a failure replaces its folder, so nothing stands twice; the query ends when all that is there is read."""
+def scored_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", embedder: Callable | None = None) -> DataFrame:
+    """Chunks of each document by its profile, with the document's quality score, and a dense and a sparse vector each.
+    Documents of one call have different keys."""
+    d = quality.chunk_params(quality.signals(docs, text))
+    c = chunking.adaptive_chunks(d, key, text).join(d.select(key, "quality_score"), key).withColumn("chunk_id", F.concat_ws("#", key, "chunk_index"))
+    return vectors.with_dense(c, "chunk_text", embedder).join(vectors.encode_sparse(c, "chunk_id", "chunk_text"), "chunk_id")
 
-    def write(batch: DataFrame, number: int) -> None:
-        c = chunking.sentences(batch, key, text)
-        c.withColumn("arrived", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number:09d}")
 
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_stream(docs: DataFrame, table: ChunkTable, checkpoint: str, text: str = "text", chunks: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Start: the documents of each batch, in chunks (sentences, or what `chunks` makes of them), take the place of those
+    that the table has of their keys; documents without chunks lose theirs. A batch that comes again after a failure is
+    merged again with the same order, so nothing stands twice. The query ends when all that is there is read."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        made = chunks(batch) if chunks else chunking.sentences(batch, table.key, text)
+        table.merge(made, number, gone=batch.join(made.select(table.key).distinct(), table.key, "left_anti"))
 
-def read_chunks(spark: SparkSession, target: str, key: str = "doc_id") -> DataFrame:
-    """The chunks of each document's latest batch: a document that came again has replaced its chunks."""
-    c = spark.read.parquet(target).drop("batch")
-    last = c.groupBy(key).agg(F.max("arrived").alias("_last"))
-    return c.join(last, key).where(F.col("arrived") == F.col("_last")).drop("arrived", "_last")
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedup_stream(rows: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
