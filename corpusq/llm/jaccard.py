@@ -21,6 +21,8 @@ BINS = 1 << 18
 LIST, BLOCK = 4000, 8 << 20
 #: Bytes of text hashed at once.
 SLICE = 1 << 20
+#: Bits by which texts of no family are told before they are shuffled.
+FILTER = 1 << 23
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -193,14 +195,15 @@ def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
     Each set is compared with the first of every class; from how far it and the others are from there follow
     bounds for how far it is from the others (shingles not shared are a metric): some links are certain, most
     pairs are out of question, and only the rest is compared, the closest by bound first. Sets of a class that the
-    set has joined are skipped.
+    set has joined are skipped: with a leader's class all sets that joined it, without a look at each.
     """
     members = [frozenset(s.tolist()) for s in sets]
     ns = [len(m) for m in members]
     forest = Forest(len(sets))
     centre: list[tuple[int, int]] = []  # each set's leader, and how far it is from it
     leaders: list[int] = []
-    near: dict[int, list[int]] = {}
+    near: dict[int, tuple[list[int], list[int]]] = {}  # each leader's sets: of its class when they came, and others
+    last: dict[int, int] = {}
     low = 0
     for x in range(len(sets)):
         while 100 * ns[low] < percent * ns[x]:
@@ -208,7 +211,7 @@ def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
         best = None
         rest: list[tuple[int, int, int]] = []
         for p in leaders:
-            if 100 * ns[near[p][-1]] < percent * ns[x]:
+            if 100 * ns[last[p]] < percent * ns[x]:
                 continue
             far = ns[x] + ns[p] - 2 * len(members[x] & members[p])
             limit = ns[x] + ns[p] - 2 * least_shared(ns[x], ns[p], percent)
@@ -218,7 +221,8 @@ def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
                     yield x, p
                 if best is None or far < best[1]:
                     best = (p, far)
-            for y in near[p]:
+            joined, apart = near[p]
+            for y in apart if forest.root(x) == forest.root(p) else [*joined, *apart]:
                 if y >= low and y != p:
                     most = ns[x] + ns[y] - 2 * least_shared(ns[x], ns[y], percent)
                     d = centre[y][1]
@@ -230,10 +234,11 @@ def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
                 yield x, y
         if best is None:
             leaders.append(x)
-            near[x] = []
+            near[x] = ([], [])
             best = (x, 0)
         centre.append(best)
-        near[best[0]].append(x)
+        last[best[0]] = x
+        near[best[0]][forest.root(x) != forest.root(best[0])].append(x)
 
 
 def coarse_links(heads: DataFrame, percent: int) -> DataFrame:
@@ -261,6 +266,16 @@ def coarse_links(heads: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("token", "_i", "_j").sortWithinPartitions("token", "_i", "_j", "n", "at", "id").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose _id may be among `ids`, so that few other texts are shuffled to meet them: one bit of FILTER
+    tells it, and those that pass by chance find no partner later. The bits are FILTER / 64 rows at most, whatever the
+    input, and may be broadcast."""
+    place = F.pmod(F.xxhash64("_id"), F.lit(FILTER))
+    bits = ids.select(F.floor(place / 64).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_id), {FILTER}) % 64 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    d = docs.withColumn("_word", F.floor(place / 64)).join(F.broadcast(bits), "_word")
+    return d.where(F.expr(f"shiftright(_bits, cast(pmod(xxhash64(_id), {FILTER}) % 64 as int)) & 1 = 1")).drop("_word", "_bits")
+
+
 def verified_links(docs: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of exact links that hold each family's classes together."""
     kind = docs.schema["_id"].dataType.simpleString()
@@ -272,7 +287,7 @@ def verified_links(docs: DataFrame, families: DataFrame, size: int, percent: int
 
     sizes = families.groupBy("family").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("k"))
     own = families.join(sizes, "family").select(F.col("node").alias("_id"), "family", F.ceil(F.greatest(F.col("bytes") / BLOCK, F.col("k") / LIST)).alias("blocks"))
-    rows = docs.join(own, "_id").select("family", "_id", "_text", "blocks").mapInArrow(sets, f"family {kind}, id {kind}, bytes long, n long, items binary")
+    rows = maybe_among(docs, families.select(F.col("node").alias("_id"))).join(own, "_id").select("family", "_id", "_text", "blocks").mapInArrow(sets, f"family {kind}, id {kind}, bytes long, n long, items binary")
     rows = blocked(rows, F.col("bytes"), F.col("id")).select("family", "_i", "_j", "n", "id", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
