@@ -133,7 +133,7 @@ def test_pieces():
 
 def test_html():
     page = "<html><head><title>t</title></head><body><nav><ul><li>menu</ul></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>x <b>y</b><br>z<p>w&nbsp;v<script>var a='</p>'</script></article><div class='comments'><p>no</div><footer>f</footer>"
-    assert html.main_text(page, set()) == "A & B\nx y z\nw v"
+    assert html.main_text(page) == "A & B\nx y z\nw v"
 
 
 def test_warc(spark):
