@@ -105,19 +105,23 @@ WITH own AS (
   SELECT doc_id, source AS s, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}'))::BIGINT AS n FROM documents
 ), hashed AS (
   SELECT *, (('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || n::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM own
-), sizes AS (SELECT s, sum(n)::BIGINT AS source_size FROM own GROUP BY s
+), sizes AS (SELECT s, sum(n)::BIGINT AS source_size, avg(n) AS mean FROM own GROUP BY s
 ), weighed AS (
   SELECT *, ((row_number() OVER (ORDER BY s IS NULL, s) - 1) % 3 + 1)::DOUBLE AS w, 3::DOUBLE * source_size AS most FROM sizes
 ), levels AS (
   SELECT *, ((sum(source_size) OVER ())::DOUBLE
       - coalesce(sum(most) OVER (ORDER BY most / w, s IS NULL, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
       / sum(w) OVER (ORDER BY most / w, s IS NULL, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
-), targets AS (SELECT s, source_size, least(most, max(level) OVER () * w) AS target FROM levels
+), targets AS (SELECT s, source_size, mean, least(most, max(level) OVER () * w) AS target FROM levels
 ), rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
-), d AS (
-  SELECT h.*, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p, (rate - floor(rate)) * source_size AS rest
-  FROM hashed h JOIN rates r ON h.s IS NOT DISTINCT FROM r.s
+), shares AS (
+  SELECT o.s, sum(CASE WHEN n > 0 THEN n * (n / (n + mean)) ELSE 0 END) / any_value(source_size) AS share FROM own o JOIN sizes z ON o.s IS NOT DISTINCT FROM z.s GROUP BY o.s
+), d0 AS (
+  SELECT h.*, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p0, (rate - floor(rate)) * source_size AS rest,
+    CASE WHEN n > 0 THEN n / (n + mean) ELSE 0 END - share AS tilt
+  FROM hashed h JOIN rates r ON h.s IS NOT DISTINCT FROM r.s JOIN shares z ON h.s IS NOT DISTINCT FROM z.s
+), d AS (SELECT *, p0 + least(p0, 1 - p0) * tilt / 2 AS p FROM d0
 ), ranked AS (
   SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) ELSE 1 END AS q FROM d
 ), cumulated AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY q, doc_id, n) AS upto FROM ranked

@@ -79,3 +79,31 @@ def test_very_long_texts_and_ties(spark):
     kept = {r.doc_id: len(r.kept) for r in repeats.cut_repeats(d).collect()}
     assert kept[1] == 0 and kept[2] == 4 and kept[3] == kept[4] == 0
     assert sum(r.taken for r in mixing.mix(d).collect()) > 0
+
+
+def test_mix_of_rows_without_or_with_repeated_ids(spark):
+    """Targets are met, as for other rows, and reruns agree."""
+    text = "word " * 100
+    rows = [(None if i % 2 else 7, text, s) for s in "abc" for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    once, again = (sorted(map(tuple, mixing.mix(d).select("source", "doc_id", "target", "taken").collect()), key=repr) for _ in range(2))
+    assert once == again and len(once) == 300
+    for s, target in (("a", 5000), ("b", 10_000), ("c", 15_000)):
+        mine = [r for r in once if r[0] == s]
+        assert all(abs(r[2] - target) < 1e-6 for r in mine) and abs(sum(r[3] for r in mine) - target) <= 100
+    assert mixing.mixed(d).count() == 300
+
+
+def test_mix_draws_by_weight(spark):
+    """Of two kinds of documents of the same size, the heavier one is drawn more often, in the mean as its chance says."""
+    rows = [(i, "word " * 50, "a" if i % 4 else "b", 9.0 if i % 3 == 0 else 1.0) for i in range(8000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = [r for r in mixing.mix(d, weight="w").collect() if r.source == "b"]
+    rate = got[0].target / got[0].source_size
+    p, mean = rate - int(rate), (9 + 1 + 1) / 3
+    share = {True: 9 / (9 + mean), False: 1 / (1 + mean)}
+    all_ = (share[True] + 2 * share[False]) / 3
+    for heavy in (True, False):
+        mine = [r.copies - int(rate) for r in got if (r.doc_id % 3 == 0) == heavy]
+        chance = p + min(p, 1 - p) * (share[heavy] - all_) / 2
+        assert abs(sum(mine) / len(mine) - chance) < 4 * (chance * (1 - chance) / len(mine)) ** 0.5
