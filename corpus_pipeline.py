@@ -11,17 +11,21 @@ from corpusq.llm import jaccard, mixing, pieces, quality, templates
 from corpusq.llm.common import Tables, documents, written
 
 
-own_tables = Tables()
+#: By sf_dir and place in STAGES: the tables that stages have written for themselves, called one by one.
+own_tables: dict[tuple[str, int], Tables] = {}
 
 
 def stage(step):
-    """A stage, which first removes what the stages before wrote for themselves: their results are tables by then. Nothing
-    is removed that `docs` still reads."""
+    """A stage. It first removes what earlier stages have written for themselves for the same sf_dir: called one after the
+    other, their results are tables by then. Nothing is removed that `docs` still reads, and calls of one stage leave
+    each other's tables alone."""
 
     @wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        own_tables.remove_unless_read_by(docs)
-        return own_tables.kept(step, spark, docs, sf_dir)
+        place = [f.__name__ for _, f in STAGES].index(step.__name__)
+        for key in [k for k in own_tables if k[0] == sf_dir and k[1] < place]:
+            own_tables[key].remove_unless_read_by(docs)
+        return own_tables.setdefault((sf_dir, place), Tables()).kept(step, spark, docs, sf_dir)
 
     return run_stage
 
@@ -70,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each writes for itself is removed once its result is a table."""
     docs = documents(spark, sf_dir)
     for k, (_, step) in enumerate(STAGES):
-        docs = written(step(spark, docs, sf_dir), f"stage-{k}")
+        own = Tables()
+        docs = written(own.kept(step.__wrapped__, spark, docs, sf_dir), f"stage-{k}")
+        own.remove_unless_read_by(docs)
     return docs

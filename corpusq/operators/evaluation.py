@@ -8,13 +8,36 @@ from pyspark.sql import functions as F
 from corpusq.functions.text import rounded, truncate
 
 
+#: Groups up to so many rows are sorted whole; the accuracy of the ranges in which the values of larger ones are sought.
+SMALL, ACCURACY = 100_000, 10_000
+
+
+def in_ranges(v: DataFrame, group: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(group, _n, _j, _key, _c): for the j-th share how many rows have each value in the range that holds its place, and,
+    with a null key, how many lie below. The range is that of two approximate percentiles, whose error is bounded."""
+    off = 2 / ACCURACY
+    ends = [x for p in shares for x in (max(0.0, p - off), min(1.0, p + off))]
+    stats = v.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.percentile_approx(value, ends, ACCURACY).alias("_cuts"))
+    whole = F.col("_n") <= SMALL
+    low = lambda j, p: F.when(whole | F.lit(p <= off), F.col("_min")).otherwise(F.col("_cuts")[2 * j])
+    high = lambda j, p: F.when(whole | F.lit(p + off >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * j + 1])
+    ranges = F.array(*[F.struct(F.lit(j).alias("j"), low(j, p).alias("low"), high(j, p).alias("high")) for j, p in enumerate(shares)])
+    stats = stats.select(F.col(group).alias("_g"), "_n", ranges.alias("_r"))
+    d = v.join(stats, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_r", F.explode(F.filter("_r", lambda x: F.col(value) <= x.high)))
+    return d.groupBy(group, "_n", F.col("_r.j").alias("_j"), F.when(F.col(value) >= F.col("_r.low"), F.col(value)).alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
+
+
 def latency_percentiles(df: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """The value at place floor(n * p) of each group in ascending order, exact: equal values are counted before
-    they are sorted, and ties share a row. For groups of billions of distinct values use percentile_approx."""
-    v = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
-    at = [F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * F.lit(p)), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
+    """The value at place floor(n * p) of each group in ascending order, exact; null values are left out.
+
+    Of a large group only the values in a narrow range around each place are put in order, a few in ten thousand and
+    counted before: what lies below is a count. So no task sorts a group.
+    """
+    v = in_ranges(df.where(F.col(value).isNotNull()).select(group, value), group, value, shares)
+    order = Window.partitionBy(group, "_j").orderBy(F.col("_key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    v = v.withColumn("_upto", F.sum("_c").over(order))
+    place = lambda p: F.floor(F.col("_n") * F.lit(p))
+    at = [F.min(F.when((F.col("_j") == j) & (F.col("_upto") > place(p)), F.col("_key"))).alias(f"p{round(p * 100)}") for j, p in enumerate(shares)]
     return v.groupBy(group).agg(F.max("_n").alias("n"), *at)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusq import shared
 from corpusq.functions.text import rounded
-from corpusq.operators import ann, chat, evaluation, judging, retrieval, vectors
+from corpusq.operators import ann, chat, evaluation, judging, models, retrieval, vectors
 from corpusq.sources.snapshots import ChunkTable
 from corpusq.streaming import ingest as stream
 
@@ -78,6 +78,13 @@ def rerank(spark, sf_dir):
     return named(retrieval.search(*chunks(spark, sf_dir), "rerank", 5))
 
 
+def rerank_by_model(spark, sf_dir):
+    """The nearest by a scorer that is loaded by its name and gets batches of pairs."""
+    q, c = chunks(spark, sf_dir)
+    hits = retrieval.dense_topk(q, c, 15).join(q.select("query_id", F.col("text").alias("query")), "query_id").join(c.select("chunk_id", "text"), "chunk_id")
+    return named(models.rerank_by(hits, 5, "shared-words"))
+
+
 def search(spark, sf_dir):
     """All modes side by side."""
     return retrieval.search(*chunks(spark, sf_dir), list(retrieval.FETCH), 5)
@@ -294,7 +301,7 @@ def ingest_scored(spark, sf_dir):
 
 
 QUERIES = (
-    l2_normalize, dimension_check, embed_dense, encode_sparse, rebuild_with_sparse, bm25_weights, model_mismatch, score_threshold, hybrid_topk, retrieve, rerank, search, to_sources, ann_topk, binary_relevance, retrieval_detail, retrieval_spread, true_recall,
+    l2_normalize, dimension_check, embed_dense, encode_sparse, rebuild_with_sparse, bm25_weights, model_mismatch, score_threshold, hybrid_topk, retrieve, rerank, rerank_by_model, search, to_sources, ann_topk, binary_relevance, retrieval_detail, retrieval_spread, true_recall,
     load_qa_samples, format_contexts, judge_requests, parse_judge_score, context_precision, judge_summary, evaluate_matrix, matrix_table, best_in_column, compare_models, throughput, stream_run_summary,
     active_status, progress_pct, ingest_eta, assemble_tokens, list_sessions, get_messages, upsert_feedback, session_with_feedback, delete_session, update_message, config_snapshot, build_prompt, ingest_stream, ingest_scored,
 )
@@ -334,6 +341,7 @@ def oracle_sql(r, sentences: str, sparse: str) -> dict:
         "hybrid_topk": f"WITH {c} " + pick(hybrid, 10),
         "retrieve": f"WITH {c} " + pick(cosine, 5),
         "rerank": f"WITH {c} " + modes["rerank"],
+        "rerank_by_model": f"WITH {c} " + modes["rerank"],
         "to_sources": f"WITH {c}, a AS ({pick(cosine, 5)}), b AS ({pick(shared, 5)}) SELECT query_id, chunk_id, source_file, coalesce(nullif(a.score, 0), b.score, a.score) AS cosine, coalesce(b.score, 0) AS sparse, coalesce(a.score, b.score) AS score, 'hybrid' AS search_type, length(text) AS chars FROM a FULL JOIN b USING (query_id, chunk_id) JOIN c USING (chunk_id)",
         "binary_relevance": f"SELECT query_id, chunk_id, rel::INT AS relevant FROM ({judged})",
         "retrieval_detail": detail,
