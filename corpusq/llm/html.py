@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Where a tag begins, the rest of it with quoted values, and without regard to quotes.
+#: A tag with quoted values; where one begins, and its rest without regard to quotes.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 BEGIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
-REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-PLAIN = re.compile(r"([^>]*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?![\w-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -71,10 +72,22 @@ class Page:
     blocks: list[tuple[str, int, bool]] = field(default_factory=list)  #: text, element, no article by its kind
 
 
+#: Elements, child sequences and names come again on most pages of a host.
+@lru_cache(1 << 16)
+def path_of(parent: int, element: str) -> int:
+    return signed(f"{parent}/{element}")
+
+
+@lru_cache(1 << 16)
+def style_of(*children: str) -> int:
+    return signed(",".join(children))
+
+
 def signed(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+@lru_cache(1 << 16)
 def named_noise(token: str, inside: bool) -> bool:
     """Whether a class or id names what is no article. Inside an article it must begin or end with the name, and its
     header stays. Names after "no", "has" and the like say what is elsewhere."""
@@ -96,10 +109,11 @@ def element(tag: str, attributes: str, parent: Node, number: int) -> Node:
         value = value.lower()
         hard |= name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
     main = tag in ("article", "main")
-    hard |= tag == "header" and not (parent.article or main)
+    if tag == "header":
+        hard |= not (parent.article or main)
     plain = tag in ("html", "body") or main
     hard, soft = parent.hard or hard and not plain, not main and (parent.soft or soft and not plain)
-    node = Node(tag, number, signed(f"{parent.path}/{tag}{names}"), hard, soft, parent.article or main, parent.block)
+    node = Node(tag, number, path_of(parent.path, tag + names), hard, soft, parent.article or main, parent.block)
     if tag in BLOCK:
         node.block, node.outer = node, hard or soft
     else:
@@ -114,44 +128,42 @@ def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
     The page is read once: where a tag's quotes do not end, quotes do not count from there on, and behind the last ">"
     there are no tags.
     """
-    at, held, last, rest = 0, 0, page.rfind(">"), REST
-    raw = ""
-    while True:
-        at = page.find("<", at)
-        if at < 0 or at > last:
-            yield page[held:], False, "", ""
-            return
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            text, at = page[held:at], len(page) if end < 0 else end + 3
-            held = at
-            yield text, False, "!", ""
-            continue
-        if page[at + 1 : at + 2] in ("!", "?") or page.startswith("</", at) and not page[at + 2 : at + 3].isalpha():
-            end = page.find(">", at)
-            text, at = page[held:at], end + 1
-            held = at
-            yield text, False, "!", ""
-            continue
-        begin = BEGIN.match(page, at)
-        if not begin:
+    at, held, last, match = 0, 0, page.rfind(">"), TAG.match
+    while 0 <= (at := page.find("<", at)) <= last:
+        m = match(page, at)
+        if not m and BEGIN.match(page, at):
+            match = PLAIN.match
+            m = match(page, at)
+        if m:
+            begin, at = at, m.end()
+            ends, tag, attributes = m.groups()
+            tag = tag.lower()
+            yield page[held:begin], bool(ends), tag, attributes
+            if tag in RAW and not ends:
+                end = closing(tag).search(page, at)
+                at = end.end() if end else len(page)
+        elif page.startswith("<!--", at):
+            yield page[held:at], False, "!", ""
+            at = page.find("-->", at + 4) + 3
+            at = at if at > 2 else len(page)
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            yield page[held:at], False, "!", ""
+            at = page.find(">", at) + 1
+        else:
             at += 1
             continue
-        end = rest.match(page, begin.end())
-        if not end:
-            rest = PLAIN
-            end = rest.match(page, begin.end())
-        text, at = page[held:at], end.end()
-        raw = begin[2].lower()
-        yield text, bool(begin[1]), raw, end[1]
-        if raw in RAW and not begin[1]:
-            end = re.compile(rf"</{re.escape(raw)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
         held = at
+    yield page[held:], False, "", ""
+
+
+@cache
+def closing(tag: str) -> re.Pattern:
+    """Where an element of RAW ends."""
+    return re.compile(rf"</{tag}\s*>", re.I)
 
 
-def parsed(html: str) -> Page:
-    """The elements of a page and its blocks of text, in page order."""
+def parsed(html: str, styles: bool = True) -> Page:
+    """The elements of a page and its blocks of text, in page order; `styles` too where they are asked for."""
     page, root = Page(), Node("", 0, signed(""), False, False, False, None)
     root.block = root
     stack, held, names = [root], [], {}
@@ -159,7 +171,8 @@ def parsed(html: str) -> Page:
 
     def flush() -> None:
         if held:
-            if text := " ".join(entities.unescape("".join(held)).split()):
+            text = "".join(held)
+            if text := " ".join((entities.unescape(text) if "&" in text else text).split()):
                 block = stack[-1].block
                 page.blocks.append((text, block.number, block.outer))
             held.clear()
@@ -169,7 +182,8 @@ def parsed(html: str) -> Page:
             flush()
         n = stack.pop()
         names[n.tag] -= 1
-        page.style[n.number] = signed(",".join(n.children))
+        if styles:
+            page.style[n.number] = style_of(*n.children)
 
     for text, ends, tag, attributes in tags(html):
         if text and (stack[-1].outer or not (stack[-1].hard or stack[-1].soft)):
@@ -197,7 +211,7 @@ def parsed(html: str) -> Page:
                 if stack[k].tag in SCOPE:
                     break
         closes, bounds = IMPLIED.get(tag, ((), ()))
-        for k in range(len(stack) - 1, 0, -1) if any(names.get(x) for x in closes) else ():
+        for k in range(len(stack) - 1, 0, -1) if closes and any(names.get(x) for x in closes) else ():
             if stack[k].tag in bounds:
                 break
             if stack[k].tag in closes:
@@ -219,7 +233,7 @@ def parsed(html: str) -> Page:
     while len(stack) > 1:
         pop()
     flush()
-    page.style[0] = signed(",".join(root.children))
+    page.style[0] = style_of(*root.children)
     return page
 
 
@@ -307,7 +321,7 @@ def noisy(page: Page, known: dict[int, tuple[float, float | None]], repeated: se
 def main_text(html: str, known: dict[int, tuple[float, float | None]] | None = None, common: Set[int] = frozenset(), repeated: Set[int] = frozenset(), low: float = LOW, gamma: float = GAMMA) -> str:
     """The blocks that are no noise by their kind, nor, outside article and main elements, by what is known of the host's
     elements and texts."""
-    page = parsed(html)
+    page = parsed(html, False)
     cut = noisy(page, known, repeated, low, gamma) if known else None
     keep = lambda text, node, outer: not outer and (page.article[node] or not (cut and cut[node]) and (not common or page.path[node] ^ signed(text) not in common))
     return "\n".join(b[0] for b in page.blocks if keep(*b))
