@@ -15,10 +15,14 @@ PARAGRAPH, SENTENCE = r"\n\s*\n+", r"(?<=[.!?。！？])\s+"
 TABLE, CODE, SEPARATORS = r"\n(?=\[Sheet:|\||\d+,)", r"(?s)(```.*?```|`[^`\n]+`)", ("\n\n", "\n", ". ", " ", "")
 
 
+def sentence_array(text: Column) -> Column:
+    """The sentences of a text that are not blank, trimmed; null for null."""
+    return F.filter(F.transform(F.split(text, SENTENCE, -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per sentence that is not blank, trimmed, with its place from 0; none for null."""
-    parts = F.filter(F.transform(F.split(F.col(text), SENTENCE, -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    return docs.select(key, F.posexplode(parts).alias("sentence_index", "sentence"))
+    return docs.select(key, F.posexplode(sentence_array(F.col(text))).alias("sentence_index", "sentence"))
 
 
 def segments(text: str, size: int, overlap: int) -> Iterator[str]:
@@ -171,3 +175,10 @@ def dedupe_chunks(chunks: DataFrame, key: str, index: str, text: str) -> DataFra
 def with_totals(chunks: DataFrame, key: str) -> DataFrame:
     """Adds how many chunks the document has."""
     return chunks.join(chunks.groupBy(key).agg(F.count(F.lit(1)).alias("total_chunks")), key)
+
+
+def chunk_metadata(chunks: DataFrame, docs: DataFrame, key: str, kept: list[str], models: dict[str, str]) -> DataFrame:
+    """Chunks with how many their document has, the columns `kept` of the document, and the names of the models that their
+    vectors are made with (column -> name). Documents have different keys."""
+    d = with_totals(chunks, key).join(docs.select(key, *kept), key)
+    return d.withColumns({column: F.lit(name) for column, name in models.items()})

@@ -22,14 +22,16 @@ def clamp(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def parse_score(reply: Column) -> Column:
+def parse_score(reply: Column, loose: bool = False) -> Column:
     """A score from 0 to 1: of a JSON object by the first known key with a number, of a JSON number, else of the first
-    fraction below one in the text, else of the first decimal (above one: out of 100); else null."""
+    fraction below one in the text, else of the first decimal (above one: out of 100); else null. `loose`, as matrices
+    take it: a fraction may stand inside another number, and whole numbers count as decimals."""
     number = r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"
     held = lambda v: F.when(v.rlike(number), v.cast("double"))
+    found = lambda pattern, i: F.nullif(F.regexp_extract(reply, pattern, i), F.lit("")).cast("double")
     json = F.coalesce(*[held(F.get_json_object(reply, f"$.{k}")) for k in SCORE_KEYS], held(F.trim(reply)))
-    small = F.nullif(F.regexp_extract(reply, r"(?:^|[^0-9.])(0?\.[0-9]+)(?:[^0-9.]|$)", 1), F.lit("")).cast("double")
-    large = F.nullif(F.regexp_extract(reply, r"(?:^|[^0-9.])([0-9]+\.[0-9]+)(?:[^0-9.]|$)", 1), F.lit("")).cast("double")
+    small = found(r"0?\.[0-9]+", 0) if loose else found(r"(?:^|[^0-9.])(0?\.[0-9]+)(?:[^0-9.]|$)", 1)
+    large = found(r"\b([0-9]+(?:\.[0-9]+)?)\b", 1) if loose else found(r"(?:^|[^0-9.])([0-9]+\.[0-9]+)(?:[^0-9.]|$)", 1)
     return clamp(F.coalesce(json, small, F.when(large > 1, large / 100).otherwise(large)))
 
 
@@ -39,12 +41,12 @@ def context_precision(reply: Column) -> Column:
     return F.when(F.size(values) > 0, F.size(F.filter(values, lambda x: x >= 0.5)) / F.size(values)).otherwise(parse_score(reply))
 
 
-def judge_requests(rows: DataFrame) -> DataFrame:
-    """(query_id, question, answer, contexts) -> one request per metric, with a score of 0 instead where the answer or
-    the contexts are blank."""
+def judge_requests(rows: DataFrame, blank_score: float = 0.0) -> DataFrame:
+    """(query_id, question, answer, contexts) -> one request per metric, with `blank_score` instead where the answer or
+    the contexts are blank (0, or NaN for matrices, whose means leave it out)."""
     blank = (F.trim(F.coalesce("answer", F.lit(""))) == "") | (F.trim(F.coalesce("contexts", F.lit(""))) == "")
     prompt = lambda task: F.concat(F.lit(task + " Reply with JSON {\"score\": number from 0 to 1}.\n\nQuestion: "), F.col("question"), F.lit("\n\nContexts:\n"), F.col("contexts"), F.lit("\n\nAnswer: "), F.col("answer"))
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(~blank, prompt(t)).alias("prompt"), F.when(blank, 0.0).alias("score")) for m, t in METRICS.items()])
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(~blank, prompt(t)).alias("prompt"), F.when(blank, F.lit(blank_score)).alias("score")) for m, t in METRICS.items()])
     return rows.select("query_id", F.inline(each))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusq import shared
 from corpusq.functions import characters, text
+from corpusq.functions import tables as functions
 from corpusq.operators import chunking, evaluation, layout
 from corpusq.sources import datasets
 from corpusq.sources.snapshots import ChunkTable
@@ -51,6 +52,16 @@ def discover_datasets(spark, sf_dir):
     return datasets.discover_datasets(spark, sf_dir)
 
 
+def discovered_rows(spark, sf_dir):
+    """The rows that the files of the text tables tell, against those of the tables."""
+    found = datasets.discover_datasets(spark, sf_dir).where(F.col("dataset_id").isin("documents", "benchmark", "labels", "pages")).select("dataset_id", "rows", "columns")
+    counts = None
+    for name in ("documents", "benchmark", "labels", "pages"):
+        n = table(spark, sf_dir, name).agg(F.lit(name).alias("dataset_id"), F.count(F.lit(1)).alias("counted"))
+        counts = n if counts is None else counts.unionByName(n)
+    return found.join(counts, "dataset_id")
+
+
 def files(spark, sf_dir):
     """Documents as incoming files of their source."""
     ext = F.element_at(F.array(*map(F.lit, ("pdf", "TXT", "exe", "csv"))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -178,8 +189,17 @@ def dedupe_chunks(spark, sf_dir):
 
 
 def chunk_metadata(spark, sf_dir):
-    c = chunking.with_totals(chunking.sentences(documents(spark, sf_dir)).drop("sentence"), "doc_id")
-    return c.join(documents(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id").select("doc_id", "sentence_index", "total_chunks", "source", "lang")
+    """Each chunk's place, its document's quality, profile, split and source, and the models of its vectors."""
+    d = text.signals(documents(spark, sf_dir)).withColumn("split", datasets.split_of("doc_id"))
+    c = chunking.sentences(documents(spark, sf_dir)).drop("sentence")
+    return chunking.chunk_metadata(c, d, "doc_id", ["source", "lang", "split", "quality_score", "profile"], {"embedding_model": "hashed-words-64", "sparse_model": "word-counts"})
+
+
+def pack_chunks_sql(spark, sf_dir):
+    """Packed chunks by the table function, in SQL."""
+    functions.register(spark, "corpusq_")
+    documents(spark, sf_dir).createOrReplaceTempView("corpusq_documents")
+    return spark.sql("SELECT d.doc_id, c.* FROM corpusq_documents d, LATERAL corpusq_pack_chunks(d.text, 1200, 180, 500) c")
 
 
 def chunk_size_stats(spark, sf_dir):
@@ -197,27 +217,34 @@ def scored(spark, sf_dir):
 def ingest_summary(spark, sf_dir):
     by = scored(spark, sf_dir).groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("c"), F.sum("quality_score").alias("q"))
     listed = F.array_sort(F.collect_list(F.concat_ws(":", "profile", "n")))
-    return by.agg(F.sum("n").alias("rows"), F.sum("c").alias("chunks"), text.rounded(F.sum("q") / F.sum("n"), 3).alias("mean_quality"), F.array_join(listed, ",").alias("profiles"))
+    return by.agg(F.sum("n").alias("rows"), F.sum("c").alias("chunks"), text.rounded(F.sum("q") / F.sum("n"), 3).alias("mean_quality"), F.array_join(listed, ",").alias("profiles"), F.lit(",".join(datasets.text_columns(documents(spark, sf_dir)))).alias("columns_used"))
 
 
 def ingest_report(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("source").agg(F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"), text.rounded(F.avg("quality_score"), 3).alias("score"))
 
 
-def document_report(spark, sf_dir):
-    """All that is known of each document in one row."""
-    d = text.chunk_params(text.signals(documents(spark, sf_dir)))
+def report(spark, sf_dir):
+    """All that is known of each document in one row: its text, chunks, analysis, quality, parameters and layout. What a
+    document tells alone is made in one pass over it; only the layout's counts come from another."""
+    parts = F.coalesce(chunking.sentence_array(F.col("text")), F.array().cast("array<string>"))
+    quality = F.struct("alpha_ratio", "ocr_noise_ratio", "broken_line_ratio", "table_density", "avg_sentence_length", F.array_join("issue_tags", ",").alias("issue_tags"), "quality_score")
+    d = text.chunk_params(text.signals(documents(spark, sf_dir))).select("doc_id", "text", quality.alias("quality"), F.struct("profile", "size", "overlap", "tokens").alias("params"))
     d = characters.analyze_text(d, "text")
-    quality = F.struct("alpha_ratio", "ocr_noise_ratio", "broken_line_ratio", "table_density", "avg_sentence_length", "issue_tags", "quality_score")
-    own = d.select("doc_id", quality.alias("quality"), F.struct("characters", "types").alias("analysis"), F.struct("profile", "size", "overlap", "tokens").alias("params"))
-    c = chunking.sentences(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("sentence")).alias("chunk_chars"))
-    return own.join(layout.layout_summary(blocks(spark, sf_dir)), "doc_id", "left").join(c, "doc_id", "left")
+    own = d.select("doc_id", "text", parts.alias("chunks"), "quality", F.struct("characters", F.array_join(F.array_sort(F.map_keys("types")), ",").alias("types")).alias("analysis"), "params")
+    shape = layout.layout_summary(blocks(spark, sf_dir)).select("doc_id", "pages", "blocks")
+    return own.join(shape, "doc_id", "left")
+
+
+def document_report(spark, sf_dir):
+    """The report with its fields as columns, and chunks as text with a blank line between them."""
+    return report(spark, sf_dir).select("doc_id", "text", F.array_join("chunks", "\n\n").alias("chunks"), "quality.*", "analysis.*", "params.*", "pages", "blocks")
 
 
 QUERIES = (
-    read_dataset, limit_rows, combine_columns, project_metadata, discover_datasets, filter_supported, admit_by_quota, write_chunks, write_splits, delete_dataset, list_datasets, has_points, assemble_sheets, assemble_paragraphs,
+    read_dataset, limit_rows, combine_columns, project_metadata, discover_datasets, discovered_rows, filter_supported, admit_by_quota, write_chunks, write_splits, delete_dataset, list_datasets, has_points, assemble_sheets, assemble_paragraphs,
     char_classes, analyze_text, analyze_chunks, resolve_chunk_params, noise_blocks, classify_blocks, layout_to_text, layout_summary, vertical_overlap,
-    split_paragraphs, split_tables, split_code, adaptive_chunk, recursive_chunk, dedupe_chunks, chunk_metadata, chunk_size_stats, ingest_summary, ingest_report, document_report,
+    split_paragraphs, split_tables, split_code, adaptive_chunk, recursive_chunk, dedupe_chunks, chunk_metadata, pack_chunks_sql, chunk_size_stats, ingest_summary, ingest_report, document_report,
 )
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -257,11 +284,14 @@ def oracle_sql(signals: str, profiled: str, r, sentences: str) -> dict:
     paragraphs = PARTS.format(r"string_split(regexp_replace(text, '\n\s*\n+', chr(1), 'g'), chr(1))")
     listed = lambda l, i, v, src: f"SELECT doc_id, unnest(range(len(l)))::INT AS {i}, unnest(l) AS {v} FROM (SELECT doc_id, {l} AS l FROM ({src}))"  # noqa: E731, E741
     scored = f"{signals}, {profiled}, n AS (SELECT doc_id, count(*) AS chunks FROM ({sentences}) GROUP BY doc_id), d AS (SELECT p.*, coalesce(chunks, 0) AS chunks FROM profiled p LEFT JOIN n USING (doc_id))"
+    report = f"{signals}, {profiled}, {BLOCKS}, {class_sql('SELECT doc_id, text AS t FROM documents', 'doc_id')}, g AS (SELECT doc_id, count(DISTINCT page)::INT AS pages, count(*) AS blocks FROM b GROUP BY doc_id), k AS (SELECT doc_id, string_agg(sentence, chr(10) || chr(10) ORDER BY sentence_index) AS chunks FROM ({sentences}) GROUP BY doc_id)"
     return {
+        "document_report": f"WITH {report} SELECT d.doc_id, d.text, coalesce(k.chunks, '') AS chunks, p.alpha_ratio, ocr_noise_ratio, broken_line_ratio, table_density, avg_sentence_length, issue_tags, quality_score, cc.characters, array_to_string({types}, ',') AS types, p.profile, v.size, v.overlap, v.tokens, pages, blocks FROM documents d JOIN profiled p USING (doc_id) JOIN cc USING (doc_id) JOIN (VALUES {presets}) AS v(profile, size, overlap, tokens) USING (profile) LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)",
         "read_dataset": "SELECT * FROM labels",
         "limit_rows": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100",
         "combine_columns": "SELECT doc_id, combined FROM (SELECT doc_id, concat_ws(chr(10), CASE WHEN trim(source) <> '' THEN 'Source: ' || trim(source) END, CASE WHEN trim(lang) <> '' THEN 'Lang: ' || trim(lang) END, CASE WHEN trim(text) <> '' THEN 'Text: ' || trim(text) END, 'N Chars: ' || n_chars) AS combined FROM documents) WHERE combined <> ''",
         "project_metadata": "SELECT doc_id, source, lang, n_chars::VARCHAR AS n_chars, 'unknown' AS _source_file FROM documents",
+        "discovered_rows": " UNION ALL ".join(f"SELECT '{t}' AS dataset_id, count(*) AS rows, '{c}' AS columns, count(*) AS counted FROM {t}" for t, c in (("documents", "doc_id,text,lang,source,n_chars"), ("benchmark", "item_id,text"), ("labels", "doc_id,quality,toxic"), ("pages", "page_id,url,html"))),
         "filter_supported": f"WITH {FILES} SELECT doc_id, path FROM f WHERE doc_id % 4 <> 2",
         "admit_by_quota": f"WITH RECURSIVE {FILES}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY doc_id) AS k FROM f), a AS (SELECT dataset, doc_id, k, bytes <= 20000 AS admitted, CASE WHEN bytes <= 20000 THEN bytes ELSE 0 END AS held FROM o WHERE k = 1 UNION ALL SELECT o.dataset, o.doc_id, o.k, o.bytes <= 20000 AND held + o.bytes <= 60000, CASE WHEN o.bytes <= 20000 AND held + o.bytes <= 60000 THEN held + o.bytes ELSE held END FROM a JOIN o ON a.dataset IS NOT DISTINCT FROM o.dataset AND o.k = a.k + 1) SELECT doc_id, admitted FROM a",
         "write_chunks": f"SELECT doc_id, sentence_index, printf('%d.chunk-%04d', doc_id, sentence_index) AS name FROM ({sentences})",
@@ -284,8 +314,8 @@ def oracle_sql(signals: str, profiled: str, r, sentences: str) -> dict:
         "split_tables": listed(PARTS.format(r"string_split(regexp_replace(text, '\n(\[Sheet:|\||\d+,)', chr(1) || '\1', 'g'), chr(1))"), "part_index", "part", spaced.format(". ", "'.' || chr(10) || '| '")),
         "split_code": "SELECT doc_id, segment_index, starts_with(s, chr(2)) AS is_code, replace(s, chr(2), '') AS segment FROM (" + listed(PARTS.format(r"string_split(regexp_replace(text, '(?s)(```.*?```|`[^`\n]+`)', chr(1) || chr(2) || '\1' || chr(1), 'g'), chr(1))"), "segment_index", "s", spaced.format(", ", "', `x = 1` '")) + ")",
         "dedupe_chunks": f"SELECT doc_id, sentence, min(sentence_index) AS sentence_index FROM ({sentences}) GROUP BY doc_id, sentence",
-        "chunk_metadata": f"SELECT doc_id, sentence_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, source, lang FROM ({sentences}) JOIN documents USING (doc_id)",
+        "chunk_metadata": f"WITH {signals}, {profiled} SELECT doc_id, sentence_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, p.source, lang, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split, quality_score, profile, 'hashed-words-64' AS embedding_model, 'word-counts' AS sparse_model FROM ({sentences}) JOIN profiled p USING (doc_id) JOIN documents USING (doc_id)",
         "chunk_size_stats": f"SELECT 'all' AS \"of\", max(n) AS n, {picks}, min(c) AS least, max(c) AS most, {r('avg(c)')} AS mean FROM (SELECT length(sentence) AS c, row_number() OVER (ORDER BY length(sentence)) AS k, count(*) OVER () AS n FROM ({sentences}))",
-        "ingest_summary": f"WITH {scored} SELECT sum(n)::BIGINT AS rows, sum(c)::BIGINT AS chunks, {r('sum(q) / sum(n)', 3)} AS mean_quality, string_agg(profile || ':' || n, ',' ORDER BY profile) AS profiles FROM (SELECT profile, count(*) AS n, sum(chunks) AS c, sum(quality_score) AS q FROM d GROUP BY profile)",
+        "ingest_summary": f"WITH {scored} SELECT sum(n)::BIGINT AS rows, sum(c)::BIGINT AS chunks, {r('sum(q) / sum(n)', 3)} AS mean_quality, string_agg(profile || ':' || n, ',' ORDER BY profile) AS profiles, 'text' AS columns_used FROM (SELECT profile, count(*) AS n, sum(chunks) AS c, sum(quality_score) AS q FROM d GROUP BY profile)",
         "ingest_report": f"WITH {scored} SELECT source, sum(chunks)::BIGINT AS chunks, sum(length(t))::BIGINT AS chars, {r('avg(quality_score)', 3)} AS score FROM d GROUP BY source",
     }

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,13 +115,67 @@ def project_metadata(df: DataFrame, text: list[str], wanted: list[str] | None =
     return df.withColumn("metadata", F.map_from_entries(entries))
 
 
+#: Splits that names of files and folders tell.
+SPLITS = ("train", "test", "validation", "dev")
+#: Bytes of a text file that are read to tell its columns.
+HEAD = 1 << 16
+
+
+def columns_of(file, ext: str) -> tuple[int | None, list[str]]:
+    """(rows where the file tells them, names of the columns that hold numbers, booleans or text) of an open file."""
+    if ext == "parquet":
+        f = pq.ParquetFile(file)
+        simple = lambda t: pa.types.is_primitive(t) and not pa.types.is_temporal(t) or pa.types.is_string(t) or pa.types.is_large_string(t)
+        return f.metadata.num_rows, [c.name for c in f.schema_arrow if simple(c.type)]
+    head = file.read(HEAD).decode("utf-8", "replace")
+    if ext == "csv":
+        return None, next(csv.reader([head.split("\n", 1)[0].rstrip("\r")]), [])
+    text = head.lstrip()
+    first = json.JSONDecoder().raw_decode(text[1:].lstrip() if text.startswith("[") else text)[0]
+    return None, list(first) if isinstance(first, dict) else []
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """(path, ext) -> path, readable, rows and columns. Tasks read the footer of a parquet file, and the beginning of
+    others; rows are known of parquet alone. Files of a scheme that Arrow does not serve are not readable here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, ext in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    where, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                    with where.open_input_file(at) as f:
+                        out.append((path, True, *columns_of(f, ext)))
+                except (OSError, ValueError, pa.ArrowException):
+                    out.append((path, False, None, []))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string())))] if out else [pa.array([], t) for t in (pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string()))], names=["path", "readable", "rows", "columns"])
+
+    return files.select("path", "ext").mapInArrow(run, "path string, readable boolean, rows long, columns array<string>")
+
+
 def discover_datasets(spark: SparkSession, root: str, ingested: DataFrame | None = None) -> DataFrame:
-    """One row per folder or file right below `root`: id, formats, files, bytes, whether it is ingested (`dataset_id` in a
-    table). Names that begin with _ or . are left out; __ in a name stands for /."""
-    f = listing(spark, root).withColumn("_name", F.regexp_extract("path", r"[^/]*/*" + root.rstrip("/").rsplit("/", 1)[-1] + r"/+([^/]+)", 1))
+    """One row per folder or file right below `root`: id, formats, splits, files, bytes, rows and columns of what can be read,
+    and whether it is ingested (`dataset_id` in a table).
+
+    Names that begin with _ or . are left out; __ in a name stands for /. A split is told by a part between dashes, dots
+    or "=" of a file's or folder's name; without one it is train. Rows are summed over parquet files, null without any;
+    columns are those of the readable file of the smallest path. Only footers and first lines are read, in tasks.
+    """
+    f = listing(spark, root).withColumn("_name", F.regexp_extract("path", r"[^/]*/*" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + r"/+([^/]+)", 1))
     f = f.where(~F.col("_name").rlike(r"^[_.]") & (F.col("_name") != "") & F.col("ext").isin(*FORMATS))
+    inner = F.substring_index("path", "/", -1)
+    below = F.concat_ws("/", F.regexp_extract("path", "/([^/]+)/[^/]+$", 1), inner)
+    told = F.array_intersect(F.split(below, r"[-./=]"), F.array(*map(F.lit, SPLITS)))
     name = F.replace(F.regexp_replace("_name", r"\.[^.]+$", ""), F.lit("__"), F.lit("/"))
-    d = f.groupBy(name.alias("dataset_id")).agg(F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("formats"), F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    # a task for some hundred files, however large they are
+    d = f.select("path", "bytes", "ext", told.alias("_told"), name.alias("dataset_id"))
+    facts = file_facts(d.repartition(F.pmod(F.xxhash64("path"), F.lit(1024))))
+    d = d.join(facts, "path").groupBy("dataset_id").agg(
+        F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("formats"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_told")))), ",").alias("_splits"), F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
+        F.sum("rows").alias("rows"), F.array_join(F.min_by(F.when(F.col("readable"), F.col("columns")), F.when(F.col("readable"), F.col("path"))), ",").alias("columns"),
+    )
+    d = d.withColumn("splits", F.when(F.col("_splits") == "", "train").otherwise(F.col("_splits"))).drop("_splits")
     if ingested is None:
         return d.withColumn("is_ingested", F.lit(False)).orderBy("dataset_id")
     known = ingested.select("dataset_id").distinct().withColumn("_known", F.lit(True))

@@ -53,6 +53,20 @@ def test_discovery_splits_and_columns(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "chunks")).first().name == "f.chunk-0007"
 
 
+def test_discovery_against_a_walk(spark, tmp_path):
+    (tmp_path / "a__b" / "deep").mkdir(parents=True)
+    (tmp_path / "a__b" / "deep" / "test-00000-of-00001.jsonl").write_text('{"id": 1, "text": "x"}\n{"id": 2}\n')
+    spark.createDataFrame([(1, "x", [1])], "n int, body string, list array<int>").coalesce(1).write.parquet(str(tmp_path / "a__b" / "split=train"))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "bad.parquet").write_bytes(b"none")
+    (tmp_path / "c" / "x.csv").write_text('k,"v, w"\n1,2\n3,4\n')
+    (tmp_path / "d.json").write_text('[{"p": 1}]')
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "x.csv").write_text("a\n")
+    got = {r.dataset_id: (r.formats, r.splits, r.files, r.rows, r.columns) for r in datasets.discover_datasets(spark, str(tmp_path)).collect()}
+    assert got == {"a/b": ("jsonl,parquet", "test,train", 2, 1, "id,text"), "c": ("csv,parquet", "train", 2, None, "k,v, w"), "d": ("json", "train", 1, None, "p")}
+
+
 def test_chunkers(spark):
     assert chunking.adaptive("a. b\n| x | y |\n| z |", "table_heavy", 1200, 0, 500) == ["a. b", "| x | y |", "| z |"]
     assert chunking.adaptive("text `code` more", "code_mixed", 1200, 0, 500) == ["text", "`code`", "more"]
