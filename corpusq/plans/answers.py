@@ -12,7 +12,8 @@ from corpusq.streaming import ingest as stream
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shared.spread(d) if name in ("documents", "pages") else d  # their texts are worth a task each core
 
 
 def chunks(spark, sf_dir):
