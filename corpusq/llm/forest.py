@@ -16,7 +16,7 @@ from .jaccard import shingle_sets, verified_links
 
 SIZE, PERCENT = 2, 80
 #: Orders of the signatures, and how many values neighbours share in front. Two sets of similarity s share DEPTH values
-#: in no order with a chance of (1 - s^DEPTH)^TREES: 3e-6 at 0.8, 2e-10 at 0.85.
+#: in no order with a chance of (1 - s^DEPTH)^TREES: 3e-6 at 0.8, 2e-8 at 0.85.
 TREES, DEPTH = 24, 4
 #: Sets that one task compares as a region; where more share DEPTH values, more values are asked for, at most DEEPEST.
 REGION, DEEPEST = 2000, 64
