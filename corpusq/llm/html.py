@@ -281,6 +281,7 @@ def importances(nodes: DataFrame, min_pages: int, low: float, gamma: float) -> D
     of it, and sums are rounded to whole pages. Elements of full importance, as others are taken for, are left out.
     """
     counts = nodes.groupBy("host", "path", "content", "what").agg(F.round(F.sum(1 / F.col("copies"))).cast("long").alias("n"))
+    counts = written(counts, "node-counts")  # used thrice, pages are parsed once for it
     style = counts.where(~F.col("content")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     style = style.where(F.col("m") >= min_pages).select("host", "path", "m", ((F.log("m") - F.col("s") / F.col("m")) / F.log("m")).alias("presentation"))
     texts = counts.where("content").drop("content").join(style, ["host", "path"]).withColumn("importance", 1 - F.log(F.least("n", "m")) / F.log("m"))
