@@ -34,8 +34,8 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Adds `place`, from 0 on each page, from top to bottom and left to right."""
-    w = Window.partitionBy("doc_id", "page").orderBy("y0", "x0")
+    """Adds `place`, from 0 on each page, from top to bottom and left to right; blocks at one point by their text."""
+    w = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "text")
     return blocks.withColumn("place", F.row_number().over(w) - 1)
 
 

@@ -10,7 +10,8 @@ from corpusq.functions.text import rounded
 
 
 def upsert(table: DataFrame, chunks: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the greatest `order` of each key; columns that one side lacks are null there. Combined before the shuffle."""
+    """The row with the greatest `order` of each key; columns that one side lacks are null there. Of rows
+    of equal order any one stays. Combined before the shuffle."""
     both = table.unionByName(chunks, allowMissingColumns=True)
     return both.groupBy(key).agg(F.max_by(F.struct(*[c for c in both.columns if c != key]), F.col(order)).alias("_row")).select(key, "_row.*")
 

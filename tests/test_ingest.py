@@ -117,6 +117,27 @@ def test_stream_that_comes_again(spark, tmp_path):
     assert t.read().count() == 5
 
 
+def test_flushes_are_bounded(spark, tmp_path):
+    texts = ["x" * (k % 90) for k in range(12_345)] + ["y" * 5000, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    folder = str(tmp_path)
+
+    def sink(rows):
+        import json as j
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            j.dump([(r["id"], r["text"]) for r in rows], f)
+
+    for rows, size in ((5000, 8 << 20), (5000, 1000), (7, 8 << 20)):
+        done = ingest.hand_on(d, "text", sink, rows, size).collect()
+        flushes = [json.loads(f.read_text()) for f in tmp_path.iterdir()]
+        [f.unlink() for f in tmp_path.iterdir()]
+        assert sorted(r.rows for r in done) == sorted(map(len, flushes)) and sum(map(len, flushes)) == len(texts)
+        assert max(map(len, flushes)) <= rows and all(len(f) == 1 or sum(len(t or "") for _, t in f) <= size for f in flushes)
+        assert sorted(i for f in flushes for i, _ in f) == list(range(len(texts)))
+
+
 def test_scored_ingest(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     docs.write.parquet(str(tmp_path / "in"))
