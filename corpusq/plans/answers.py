@@ -282,29 +282,20 @@ def build_prompt(spark, sf_dir):
     return chat.build_prompt(d.select(F.col("conv_id").alias("query_id"), F.when(F.col("conv_id") % 2 == 0, "Be brief.").alias("agent_prompt"), "history", F.col("text").alias("context"), F.col("title").alias("question")))
 
 
-def through_stream(spark, sf_dir, chunks=None):
+def ingest_stream(spark, sf_dir):
+    """All documents through a stream into a chunk table, and what stands in it then."""
     source = f"{sf_dir}/documents.parquet"
     at = shared.new_path(spark, "stream")
     named = source[:-1] + "[t]"  # as a pattern, the table may be a file or a folder
     t = ChunkTable(spark, f"{at}/chunks", "doc_id")
-    stream.ingest_stream(stream.arriving(spark, named, spark.read.parquet(source).schema), t, f"{at}/checkpoint", chunks=chunks).awaitTermination()
-    return t.read()
-
-
-def ingest_stream(spark, sf_dir):
-    """All documents through a stream into a chunk table, and what stands in it then."""
-    return through_stream(spark, sf_dir).select("doc_id", "sentence_index", "sentence")
-
-
-def ingest_scored(spark, sf_dir):
-    """All documents through a stream that scores, chunks and vectorises them, and the chunk table then."""
-    return through_stream(spark, sf_dir, stream.scored_chunks)
+    stream.ingest_stream(stream.arriving(spark, named, spark.read.parquet(source).schema), t, f"{at}/checkpoint").awaitTermination()
+    return t.read().select("doc_id", "sentence_index", "sentence")
 
 
 QUERIES = (
     l2_normalize, dimension_check, embed_dense, encode_sparse, rebuild_with_sparse, bm25_weights, model_mismatch, score_threshold, hybrid_topk, retrieve, rerank, rerank_by_model, search, to_sources, ann_topk, binary_relevance, retrieval_detail, retrieval_spread, true_recall,
     load_qa_samples, format_contexts, judge_requests, parse_judge_score, context_precision, judge_summary, evaluate_matrix, matrix_table, best_in_column, compare_models, throughput, stream_run_summary,
-    active_status, progress_pct, ingest_eta, assemble_tokens, list_sessions, get_messages, upsert_feedback, session_with_feedback, delete_session, update_message, config_snapshot, build_prompt, ingest_stream, ingest_scored,
+    active_status, progress_pct, ingest_eta, assemble_tokens, list_sessions, get_messages, upsert_feedback, session_with_feedback, delete_session, update_message, config_snapshot, build_prompt, ingest_stream,
 )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusq.functions import text as quality
 from corpusq.operators import chunking, vectors
+from corpusq.shared import written
 from corpusq.sources.snapshots import ChunkTable
 
 
@@ -25,7 +26,7 @@ def arriving(spark: SparkSession, path: str, schema, files: int = 100) -> DataFr
 def scored_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", embedder: Callable | None = None) -> DataFrame:
     """Chunks of each document by its profile, with the document's quality score, and a dense and a sparse vector each.
     Documents of one call have different keys."""
-    d = quality.chunk_params(quality.signals(docs, text))
+    d = written(quality.chunk_params(quality.signals(docs, text)).select(key, text, "profile", "size", "overlap", "tokens", "quality_score"), "scored")
     c = chunking.adaptive_chunks(d, key, text).join(d.select(key, "quality_score"), key).withColumn("chunk_id", F.concat_ws("#", key, "chunk_index"))
     return vectors.with_dense(c, "chunk_text", embedder).join(vectors.encode_sparse(c, "chunk_id", "chunk_text"), "chunk_id")
 
@@ -82,7 +83,7 @@ def ingest_stream(docs: DataFrame, table: ChunkTable, checkpoint: str, text: str
     merged again with the same order, so nothing stands twice. The query ends when all that is there is read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        made = chunks(batch) if chunks else chunking.sentences(batch, table.key, text)
+        made = written(chunks(batch) if chunks else chunking.sentences(batch, table.key, text), "batch")  # made once, used thrice
         table.merge(made, number, gone=batch.join(made.select(table.key).distinct(), table.key, "left_anti"))
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
