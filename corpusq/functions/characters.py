@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions import codes
 from corpusq.functions.text import WS, rounded
 
 #: The classes in order of precedence; what is left is `other`.
@@ -17,22 +19,27 @@ NAMES = tuple(n for n, _ in CLASSES) + ("other",)
 LETTERS = ("cjk", "hiragana", "katakana", "hangul", "arabic", "cyrillic", "latin_upper", "latin_lower", "alphabetic")
 
 
+def class_table(spark) -> np.ndarray:
+    """For each code point the place of its class in NAMES."""
+    patterns = {n: p for n, p in CLASSES if p} | {"latin_upper": r"[\p{IsLatin}&&\p{Lu}]", "latin_lower": r"[\p{IsLatin}&&\p{Ll}]"}
+    found = codes.table(spark, tuple(patterns[n] for n, _ in CLASSES))
+    made = np.full(len(found), len(CLASSES), np.uint8)
+    for i in reversed(range(len(CLASSES))):
+        made[(found >> i) & 1 == 1] = i
+    return made
+
+
+def class_counts(made: np.ndarray, code: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    own, n = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), len(NAMES)
+    counts = np.bincount(own * n + made[code], minlength=n * (len(bounds) - 1)).reshape(-1, n)
+    counts[:, -1] -= 1  # what stands after the text
+    return dict(zip(NAMES, counts.T, strict=True))
+
+
 def char_classes(df: DataFrame, text: str) -> DataFrame:
-    """Adds a count per class: each character is in the first class that it fits. Classes are taken out of the text one
-    after the other, runs at a time, so later ones read what is left."""
-    d = df.withColumn("_left", F.coalesce(F.col(text), F.lit("")))
-    out = lambda x, pattern: F.regexp_replace(x, f"(?:{pattern})++", "")
-    for name, pattern in CLASSES:
-        if pattern:
-            d = d.withColumn("_next", out(F.col("_left"), pattern))
-            d = d.withColumn(name, (F.length("_left") - F.length("_next")).cast("long")).drop("_left").withColumnRenamed("_next", "_left")
-        elif name == "latin_upper":
-            d = d.withColumn("_latin", out(F.col("_left"), r"\P{IsLatin}"))
-            for c, p in (("latin_upper", r"\p{Lu}"), ("latin_lower", r"\p{Ll}")):
-                d = d.withColumn(c, (F.length("_latin") - F.length(out(F.col("_latin"), p))).cast("long"))
-            d = d.drop("_latin")
-    d = d.withColumn("alphabetic", F.col("alphabetic") - F.col("latin_upper") - F.col("latin_lower"))
-    return d.withColumn("other", F.length("_left").cast("long")).drop("_left")
+    """Adds a count per class: each character is in the first class that it fits; null is empty."""
+    d = codes.counted(df, text, "_n", class_counts, NAMES, class_table(df.sparkSession))
+    return d.withColumns({n: F.col("_n").getField(n) for n in NAMES}).drop("_n")
 
 
 def letters() -> Column:

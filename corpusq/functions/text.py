@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions import codes
+
 #: The character classes that the signals are defined by.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NW = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -35,29 +38,109 @@ def script_runs() -> str:
     return "|".join([*(f"[{x}]+" for x in SCRIPTS), f"[^{''.join(SCRIPTS)}]+"])
 
 
+#: What a signal needs to know of a character, as bits: the patterns, and marks set beside them.
+LETTER, SPACE, WORD, DIGIT, END, DELIMITER, BREAK = (1 << i for i in range(7))
+COUNTS = ("letters", "noise", "lines", "broken", "header", "table", "repeated", "delimiters", "sentences", "words", "scripts")
+#: Words that begin a header line, and those of them that a number must follow; letters that are alike but for their case.
+HEADERS = {"page": True, "chapter": True, "section": True, "confidential": False, "draft": False}
+ALIKE = {"ſ": "s", "İ": "i", "ı": "i"}
+
+
+def character_table(spark) -> np.ndarray:
+    """For each code point the bits above, and its script family from bit 8 on: those of SCRIPTS, then others."""
+    found = codes.table(spark, (LETTERS, WS, r"[\p{L}\p{N}_]", r"\p{Nd}", *(f"[{x}]" for x in SCRIPTS)))
+    families = found >> 4
+    family = np.full(len(found), len(SCRIPTS), np.uint16)
+    for i in reversed(range(len(SCRIPTS))):
+        family[(families >> i) & 1 == 1] = i
+    family[codes.END_OF_TEXT] = len(SCRIPTS) + 1
+    made = (found & 15).astype(np.uint16) | family << 8
+    for marks, bit in ((ENDS, END), ("{}[", DELIMITER), ("\n", BREAK)):
+        made[[*map(ord, marks)]] |= bit
+    made[codes.END_OF_TEXT] |= END | BREAK
+    return made
+
+
+def header_lines(made: np.ndarray, code: np.ndarray, first: np.ndarray, end: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Which lines are headers, by where their first character that is not blank stands and where they end."""
+    fold = np.arange(0x180, dtype=np.uint32)
+    for c in map(chr, range(0x180)):
+        fold[ord(c)] = ord(ALIKE.get(c, c.lower() if c.isascii() else c))
+    folded = lambda x: np.where(x < 0x180, fold[np.minimum(x, 0x17F)], x)
+    code = np.append(code, np.full(16, codes.END_OF_TEXT, np.uint32))
+    is_ = lambda at, word: np.logical_and.reduce([folded(code[at + i]) == ord(c) for i, c in enumerate(word)])
+    out = np.isin(code[first], [ord("©"), ord("|")]) | is_(first, "***")
+    initial = folded(code[first])
+    for word, numbered in HEADERS.items():
+        at = np.flatnonzero(initial == ord(word[0]))
+        at = at[is_(first[at], word)]
+        if numbered and len(at):
+            after = first[at] + len(word)
+            number = np.append(filled, len(code) - 1)[np.searchsorted(filled, after)]
+            at = at[(number > after) & (number < end[at]) & (made[code[number]] & DIGIT > 0)]
+        out[at] = True
+    return out
+
+
+def text_counts(made: np.ndarray, code: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    """COUNTS of each text. Lines, sentences and runs end with their text, after which END_OF_TEXT stands."""
+    what = made[code]
+    has = lambda bits: what & bits != 0
+    at = lambda places: np.diff(np.searchsorted(places, bounds))
+    out = {"letters": codes.per_text(has(LETTER), bounds)}
+    start, length, of = codes.long_runs(code)
+    long = lambda c, n: (of == ord(c)) & (length >= n)
+    out["noise"] = at(start[long("_", 5) | long(".", 4) | long("~", 3) | long("^", 3)])
+    alnum = (of >= 48) & (of <= 57) | (of >= 65) & (of <= 90) | (of >= 97) & (of <= 122)
+    out["repeated"] = at(start[alnum & (length >= 5)])
+    out["delimiters"] = codes.per_text(has(DELIMITER), bounds) + at(start[long(" ", 4)])
+
+    inner = ~has(SPACE | END)
+    begins = np.flatnonzero(inner & ~np.append(False, inner[:-1]))
+    sentence = np.searchsorted(np.flatnonzero(has(END)), begins)
+    out["words"], out["sentences"] = at(begins), at(begins[np.append(True, sentence[1:] != sentence[:-1])[: len(begins)]])
+
+    filled = np.flatnonzero(~has(SPACE))  # END_OF_TEXT is among them
+    family = what[filled] >> 8
+    changes = np.append(True, family[1:] != family[:-1]) & (family <= len(SCRIPTS))
+    out["scripts"] = np.maximum(at(filled[changes]) - 1, 0)
+
+    end = np.flatnonzero(has(BREAK))
+    begin = np.append(0, end[:-1] + 1)
+    out["lines"] = at(end)
+    next_ = np.searchsorted(filled, begin)
+    first = filled[next_]
+    last = filled[np.searchsorted(filled, end) - 1]
+    word = lambda back: what[np.maximum(last - back, 0)] & WORD > 0
+    out["broken"] = at(end[(last - 2 >= begin) & (last < end) & word(0) & word(1) & word(2)])
+    some = np.flatnonzero(first < end)
+    out["header"] = at(end[some[header_lines(made, code, first[some], end[some], filled)]])
+    pipes = np.flatnonzero(code == ord("|"))
+    some = np.flatnonzero((np.searchsorted(pipes, end) - np.searchsorted(pipes, begin) >= 3) & (code[first] == ord("|")))
+    out["table"] = at(end[some])
+    return out
+
+
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the signals, their tags, the score and the profile; null counts as empty.
 
-    Texts are read by few, possessive patterns: letters by what is left without them, lines by their last three
-    characters, sentences and their words without splitting."""
+    Characters, runs, sentences and lines are counted in one pass over code points; the rest are expressions of the counts."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    d = docs.withColumn("_l", F.split(t, "\n", -1))
-    lines = lambda test: F.size(F.filter("_l", test)) / F.size("_l")
+    d = codes.counted(docs, text, "_n", text_counts, COUNTS, character_table(docs.sparkSession))
+    of = lambda c: F.col("_n").getField(c)
     raw = {
-        "alpha_ratio": (F.length(t) - F.length(F.regexp_replace(t, f"{LETTERS}++", ""))) / n,
-        "ocr_noise_ratio": count(t, NOISE) / n,
-        "broken_line_ratio": lines(lambda x: F.right(F.rtrim(x, F.lit(BLANKS)), F.lit(3)).rlike(r"\A[\p{L}\p{N}_]{3}\z")),
-        "header_footer_ratio": lines(lambda x: x.rlike("(?iu)" + HEADER)),
-        "table_density": lines(lambda x: x.startswith("|") & x.rlike(TABLE) | x.rlike(rf"\A{WS}") & x.rlike(TABLE)),
-        "repeated_char_ratio": count(t, r"([a-zA-Z0-9])\1{4,}") / n,
-        "code_delimiter_ratio": (count(t, r"[{}\[]") + count(t, " {4,}")) / n,
+        "alpha_ratio": of("letters") / n,
+        "ocr_noise_ratio": of("noise") / n,
+        "broken_line_ratio": of("broken") / of("lines"),
+        "header_footer_ratio": of("header") / of("lines"),
+        "table_density": of("table") / of("lines"),
+        "repeated_char_ratio": of("repeated") / n,
+        "code_delimiter_ratio": of("delimiters") / n,
     }
-    d = d.withColumns({f"_{k}": F.when(F.length(t) > 0, v).otherwise(0.0) for k, v in raw.items()}).drop("_l")
+    d = d.withColumns({f"_{k}": F.when(F.length(t) > 0, v).otherwise(0.0) for k, v in raw.items()})
     d = d.withColumns({k: rounded(F.col(f"_{k}"), 4) for k in raw})
-    inner = NW.replace("[^", f"[^{ENDS}", 1)
-    sentences, in_them = count(t, rf"{WS}*+{inner}[^{ENDS}]*+"), count(t, rf"{inner}++")
-    d = d.withColumns({"_s": sentences, "_w": in_them, "script_changes": F.greatest(count(F.regexp_replace(t, f"{WS}++", ""), script_runs()) - 1, F.lit(0))})
+    d = d.withColumns({"_s": of("sentences"), "_w": of("words"), "script_changes": of("scripts").cast("int")})
     d = d.withColumn("avg_sentence_length", F.when(F.col("_s") > 0, rounded(F.col("_w") / F.col("_s"), 2)).otherwise(0.0))
     tags = [("ocr_noise", "_ocr_noise_ratio", 0.01), ("broken_lines", "_broken_line_ratio", 0.25), ("table_heavy", "_table_density", 0.05), ("header_footer_noise", "_header_footer_ratio", 0.1), ("repeated_chars", "_repeated_char_ratio", 0.005), ("code_delimiters", "_code_delimiter_ratio", 0.03), ("mixed_scripts", "script_changes", 10)]
     named = F.array_compact(F.array(*[F.when(F.col(c) > x, F.lit(t)) for t, c, x in tags]))
@@ -70,7 +153,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         .when((c("quality_score") >= 0.85) & (F.size("issue_tags") == 0), "clean_text").otherwise("general")
     )
     d = d.withColumn("profile", profile)
-    return d.drop("_s", "_w", *(f"_{k}" for k in raw))
+    return d.drop("_n", "_s", "_w", *(f"_{k}" for k in raw))
 
 
 def chunk_params(docs: DataFrame, size: str | None = None, overlap: str | None = None, tokens: str | None = None) -> DataFrame:
