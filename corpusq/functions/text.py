@@ -156,6 +156,21 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.drop("_n", "_s", "_w", *(f"_{k}" for k in raw))
 
 
+#: Ids whose values are added up by one task, in order.
+BLOCK = 100_000
+
+
+def mean_in_order(d: DataFrame, keys: list[str], key: str, value: str, **sums: Column) -> DataFrame:
+    """(keys, _mean, sums): the mean of a column of doubles for each group, added up in the order of `key`.
+
+    Sums of doubles depend on their order, and where a mean stands on the edge of rounding that shows. So blocks of ids are
+    added up in order, each by one task, and then the blocks: the same however rows are spread, and as a plain loop adds."""
+    added = lambda rows: F.aggregate(F.array_sort(rows), F.lit(0.0), lambda a, x: a + x.v)
+    block = d.groupBy(*keys, F.floor(F.col(key) / BLOCK).alias("_b")).agg(F.count(value).alias("_n"), added(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))).alias("_v"), *[x.alias(n) for n, x in sums.items()])
+    out = block.groupBy(*keys).agg(F.sum("_n").alias("_n"), added(F.collect_list(F.struct(F.col("_b").alias("k"), F.col("_v").alias("v")))).alias("_v"), *[F.sum(n).alias(n) for n in sums])
+    return out.select(*keys, (F.col("_v") / F.col("_n")).alias("_mean"), *sums)
+
+
 def chunk_params(docs: DataFrame, size: str | None = None, overlap: str | None = None, tokens: str | None = None) -> DataFrame:
     """Adds size, overlap and tokens: a column's value where given and not 0, else that of the row's profile."""
     rows = [(p, *v) for p, v in PROFILES.items()]

@@ -19,7 +19,7 @@ def table(spark, sf_dir, name):
 
 def quality_profile_by_source(spark, sf_dir):
     d = text.signals(table(spark, sf_dir, "documents"))
-    return d.groupBy("source", "profile").agg(F.count(F.lit(1)).alias("docs"), text.rounded(F.avg("quality_score"), 4).alias("score"))
+    return text.mean_in_order(d, ["source", "profile"], "doc_id", "quality_score", docs=F.count(F.lit(1))).select("source", "profile", "docs", text.rounded(F.col("_mean"), 4).alias("score"))
 
 
 def quality_signals(spark, sf_dir):
