@@ -222,7 +222,8 @@ def ingest_summary(spark, sf_dir):
 
 
 def ingest_report(spark, sf_dir):
-    return scored(spark, sf_dir).groupBy("source").agg(F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"), text.rounded(F.avg("quality_score"), 3).alias("score"))
+    by = text.mean_in_order(scored(spark, sf_dir), ["source"], "doc_id", "quality_score", chunks=F.sum("chunks"), chars=F.sum("chars"))
+    return by.select("source", "chunks", "chars", text.rounded(F.col("_mean"), 3).alias("score"))
 
 
 def report(spark, sf_dir):
