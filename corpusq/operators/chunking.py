@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions.codes import sliced
+
 #: Where paragraphs and sentences end.
 PARAGRAPH, SENTENCE = r"\n\s*\n+", r"(?<=[.!?。！？])\s+"
 #: Where tables begin, what code is, and separators from coarse to fine.
@@ -66,16 +69,27 @@ def pack(text: str | None, size: int, overlap: int, tokens: int) -> list[str]:
     return list(done)
 
 
-def pack_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 180, tokens: int = 500) -> DataFrame:
-    """(key, chunk_index, total_chunks, chunk_text): no shuffle; a document is packed where it is read."""
+def chunk_rows(d: DataFrame, rows_of: Callable[..., Iterator[tuple]], made: str) -> DataFrame:
+    """(key, columns of `made`) by `rows_of`(key, text, ...), which gives rows for one. A batch is worked on in slices of
+    about codes.SLICE bytes of text, each handed on as it is done: memory follows the slice, not the batch."""
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"int": pa.int32(), "string": pa.string()}
         for b in batches:
-            rows = [(k, i, len(c), x) for k, t in zip(b[key], b[text], strict=True) for c in [pack(t, size, overlap, tokens)] for i, x in enumerate(c)]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "total_chunks", "chunk_text"])
+            names, types = [b.schema.names[0]], [b.schema.types[0]]
+            for name, kind in (x.split() for x in made.split(", ")):
+                names, types = [*names, name], [*types, kinds[kind]]
+            for i, j in sliced(pc.binary_length(b.column(1))):
+                rows = [r for of in zip(*(c.to_pylist() for c in b.slice(i, j - i).columns), strict=True) for r in rows_of(*of)]
+                yield pa.record_batch([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], names=names)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(packed, f"{key} {kind}, chunk_index int, total_chunks int, chunk_text string")
+    return d.mapInArrow(run, f"`{d.columns[0]}` {d.schema[0].dataType.simpleString()}, {made}")
+
+
+def pack_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 180, tokens: int = 500) -> DataFrame:
+    """(key, chunk_index, total_chunks, chunk_text): no shuffle; a document is packed where it is read."""
+
+    return chunk_rows(docs.select(key, text), lambda k, t: ((k, i, len(c), x) for c in [pack(t, size, overlap, tokens)] for i, x in enumerate(c)), "chunk_index int, total_chunks int, chunk_text string")
 
 
 def trimmed_parts(parts: Column) -> Column:
@@ -119,13 +133,10 @@ def adaptive(text: str | None, profile: str, size: int, overlap: int, tokens: in
 def adaptive_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, profile, chunk_index, total_chunks, chunk_text) of rows with profile, size, overlap and tokens."""
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, p, i, len(c), x) for k, t, p, *how in b.itertuples(index=False) for c in [adaptive(t, p, *how)] for i, x in enumerate(c)]
-            yield pd.DataFrame(rows, columns=[key, "profile", "chunk_index", "total_chunks", "chunk_text"])
+    def rows(k, t, p, *how):
+        return ((k, p, i, len(c), x) for c in [adaptive(t, p, *how)] for i, x in enumerate(c))
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, "profile", "size", "overlap", "tokens").mapInPandas(chunked, f"{key} {kind}, profile string, chunk_index int, total_chunks int, chunk_text string")
+    return chunk_rows(docs.select(key, text, "profile", "size", "overlap", "tokens"), rows, "profile string, chunk_index int, total_chunks int, chunk_text string")
 
 
 def pieces_of(text: str, size: int, separators: tuple[str, ...]) -> Iterator[str]:
@@ -158,13 +169,7 @@ def recursive(text: str | None, size: int, overlap: int) -> list[str]:
 def recursive_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 150) -> DataFrame:
     """(key, chunk_index, chunk_text)."""
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, x) for k, t in zip(b[key], b[text], strict=True) for i, x in enumerate(recursive(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk_text"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(chunked, f"{key} {kind}, chunk_index int, chunk_text string")
+    return chunk_rows(docs.select(key, text), lambda k, t: ((k, i, x) for i, x in enumerate(recursive(t, size, overlap))), "chunk_index int, chunk_text string")
 
 
 def dedupe_chunks(chunks: DataFrame, key: str, index: str, text: str) -> DataFrame:
