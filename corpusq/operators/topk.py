@@ -10,10 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions.codes import sliced
+
 #: Bytes of the query side that are sent to every task; beyond them both sides meet in pairs of blocks.
 BROADCAST = 16 << 20
 #: Rows of a block of queries and of chunks, scores computed at once, and chunks with one upper bound.
 QUERIES, CHUNKS, SCORES, BOUND = 1024, 32_768, 1 << 22, 256
+#: Words of chunks that are coded at once, and scored chunks that are sorted into the lists at once.
+WORDS, FOUND = 1 << 20, 1 << 18
 
 
 class Best:
@@ -25,13 +29,17 @@ class Best:
         self.rows = pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "id": pa.array([], kind)})
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        """Only the lists of the queries in `q` are sorted anew."""
         if not len(q):
             return
-        rows = pa.concat_tables([self.rows, pa.table({"q": pa.array(q), "score": pa.array(score), "id": ids})])
+        touched = np.zeros(len(self.queries), bool)
+        touched[q] = True
+        mine = pa.array(touched[self.rows["q"].to_numpy()])
+        rows = pa.concat_tables([self.rows.filter(mine), pa.table({"q": pa.array(q), "score": pa.array(score), "id": ids})])
         rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("score", "descending"), ("id", "ascending")])).combine_chunks()
         own = rows["q"].to_numpy()
         place = np.arange(len(own)) - np.searchsorted(own, own)
-        self.rows = rows.filter(pa.array(place < self.k))
+        self.rows = pa.concat_tables([self.rows.filter(pc.invert(mine)), rows.filter(pa.array(place < self.k))]).combine_chunks()
         full = place == self.k - 1
         self.least[own[full]] = rows["score"].to_numpy()[full]
 
@@ -62,7 +70,11 @@ class Dense:
         step = max(1, SCORES // max(1, len(self.ids)))
         for a in range(0, len(ids), step):
             part = ids.slice(a, step)
-            s = np.floor(self.unit @ unit(matrix(vectors.slice(a, step))).T * 1e6 + 0.5) / 1e6
+            s = self.unit @ unit(matrix(vectors.slice(a, step))).T
+            s *= 1e6
+            s += 0.5
+            np.floor(s, out=s)
+            s /= 1e6
             s[np.isnan(s)] = -np.inf
             if not self.own:
                 codes = np.unique(np.concatenate([self.ids.to_numpy(zero_copy_only=False), part.to_numpy(zero_copy_only=False)]), return_inverse=True)[1]
@@ -99,6 +111,11 @@ class Sparse:
         return pair // max(1, len(self.vocabulary)), pair % max(1, len(self.vocabulary)), np.ones(len(n)) if self.once else n.astype(float)
 
     def add(self, ids: pa.Array, words: pa.Array) -> None:
+        """In slices of about WORDS words, so that memory follows these and not the batch."""
+        for i, j in sliced(pc.list_value_length(words), WORDS):
+            self.add_slice(ids.slice(i, j - i), words.slice(i, j - i))
+
+    def add_slice(self, ids: pa.Array, words: pa.Array) -> None:
         code = pc.index_in(words.flatten(), value_set=self.vocabulary)
         own = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
         known = code.is_valid().to_numpy(zero_copy_only=False)
@@ -124,13 +141,19 @@ class Sparse:
             at = np.full(len(self.vocabulary) + 1, len(here))
             at[here] = np.arange(len(here))
             found: list[tuple[np.ndarray, ...]] = []
-            for q in open_.tolist():
+            held = 0
+            for i, q in enumerate(open_.tolist()):
                 t, w = self.terms[q]
                 s = w @ weights[at[t]]
                 c = np.flatnonzero((s > 0) & (s >= self.best.least[q]))
+                if len(c) > self.best.k:  # no more than k of a block, and ties
+                    c = c[s[c] >= np.partition(s[c], -self.best.k)[-self.best.k]]
                 found.append((np.full(len(c), q), s[c], order[b * BOUND + c]))
-            q, s, c = (np.concatenate(x) for x in zip(*found))
-            self.best.add(q, s, ids.take(pa.array(c)))
+                held += len(c)
+                if held >= FOUND or i == len(open_) - 1:
+                    q_, s_, c_ = (np.concatenate(x) for x in zip(*found))
+                    self.best.add(q_, s_, ids.take(pa.array(c_)))
+                    found, held = [], 0
 
 
 def grouped(q: DataFrame, c: DataFrame, keys: list[str], scorer: Callable[[pa.Table], object], kind: str) -> DataFrame:

@@ -126,3 +126,22 @@ def test_index_on_vectors_that_fill_the_space(spark):
 def test_empty_index(spark):
     index = ann.build(frame(spark, [], [], "chunk_id"), shared.new_path(spark, "test-cells"))
     assert ann.ann_topk(frame(spark, [1], [[1.0]], "query_id"), index, 3).count() == 0
+
+
+def test_candidates_are_sorted_in_bounded_lots(monkeypatch):
+    monkeypatch.setattr(topk, "FOUND", 500)
+    monkeypatch.setattr(topk, "WORDS", 3000)
+    r = random.Random(3)
+    words = [[f"w{r.randrange(40)}" for _ in range(r.randrange(12))] for _ in range(1500)]
+    queries = pa.table({"query_id": pa.array(range(200)), "words": pa.array(words[:200])})
+    s, lots = topk.Sparse(queries, pa.int64(), 5), []
+    add = s.best.add
+    monkeypatch.setattr(s.best, "add", lambda q, score, ids: (lots.append(len(q)), add(q, score, ids)))
+    s.add(pa.array(range(1500)), pa.array(words))
+    assert max(lots) <= 500 + topk.BOUND
+    got = {}
+    for h in s.best.table().to_pylist():
+        got.setdefault(h["query_id"], []).append((-h["score"], h["chunk_id"]))
+    for q in range(200):
+        scores = sorted((-sum(words[q].count(w) * words[c].count(w) for w in set(words[q])), c) for c in range(1500))
+        assert sorted(got.get(q, [])) == [x for x in scores if x[0]][:5]
