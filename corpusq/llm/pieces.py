@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,7 +18,7 @@ from .common import free_name
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, SPACE = "▁", 0x20
 #: Words of which a worker remembers the ids from batch to batch.
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 class Pieces:
@@ -29,10 +29,9 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        self.root: list = [{}, -1, 0.0]
         self.bytes: list[bytes] = []
         self.byte_id: dict[int, int] = {}
-        scores = []
+        self.score: dict[int, float] = {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -42,17 +41,23 @@ class Pieces:
             if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.bytes.append(b"")
                 continue
-            piece = piece.replace(MARK, " ")
-            self.bytes.append(piece.encode())
-            scores.append(score := sp.get_score(i))
-            node = self.root
-            for c in piece:
-                node = node[0].setdefault(c, [{}, -1, 0.0])
-            node[1], node[2] = i, score
-        self.unknown = min(scores) - 10.0
+            self.bytes.append(piece.replace(MARK, " ").encode())
+            self.score[i] = sp.get_score(i)
+        self.unknown = min(self.score.values()) - 10.0
         self.known: dict[str, tuple[int, ...]] = {}
         self.table = pa.array(self.bytes, pa.binary())
 
+    @cached_property
+    def root(self) -> list:
+        """The trie; a worker that only decodes has none."""
+        root: list = [{}, -1, 0.0]
+        for i, score in self.score.items():
+            node = root
+            for c in self.bytes[i].decode():
+                node = node[0].setdefault(c, [{}, -1, 0.0])
+            node[1], node[2] = i, score
+        return root
+
     def encode_sorted(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of words in sorted order. A word keeps the scores of the prefix that it shares with the one before.
 
@@ -99,7 +104,7 @@ class Pieces:
 
 
 #: Bytes of text, or ids, that are worked on at once: their arrays take a multiple of that.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 @lru_cache(maxsize=4)
