@@ -189,56 +189,81 @@ def candidate_links(ns: list[int], at: list[int], maps: list[bytes], percent: in
         blocks[-1][2].append(x)
 
 
+class Shared:
+    """How many shingles a set shares with others, of sets that lie one after the other as numbers of shingles."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.ends = np.cumsum([0, *map(len, sets)])
+        known, self.items = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+        self.items = self.items.astype(np.int32)
+        self.mine = np.zeros(len(known), bool)
+
+    def of(self, x: int, others: np.ndarray) -> np.ndarray:
+        """With each of `others`, none of which is empty."""
+        own = self.items[self.ends[x] : self.ends[x + 1]]
+        self.mine[own] = True
+        out, at = np.zeros(len(others), np.int64), 0
+        while at < len(others):  # about SLICE shingles at once
+            n = self.ends[others[at:] + 1] - self.ends[others[at:]]
+            n = n[: max(1, int(np.searchsorted(np.cumsum(n), SLICE)))]
+            starts = np.cumsum(n) - n
+            where = np.repeat(self.ends[others[at : at + len(n)]] - starts, n) + np.arange(starts[-1] + n[-1])
+            out[at : at + len(n)] = np.add.reduceat(self.mine[self.items[where]], starts, dtype=np.int64)
+            at += len(n)
+        self.mine[own] = False
+        return out
+
+
 def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """A forest of exact links over sets in order of size.
+    """A forest of exact links over sets in order of size, none of which is empty.
 
     Each set is compared with the first of every class; from how far it and the others are from there follow
     bounds for how far it is from the others (shingles not shared are a metric): some links are certain, most
     pairs are out of question, and only the rest is compared, the closest by bound first. Sets of a class that the
     set has joined are skipped: with a leader's class all sets that joined it, without a look at each.
     """
-    members = [frozenset(s.tolist()) for s in sets]
-    ns = [len(m) for m in members]
-    forest = Forest(len(sets))
-    centre: list[tuple[int, int]] = []  # each set's leader, and how far it is from it
-    leaders: list[int] = []
-    near: dict[int, tuple[list[int], list[int]]] = {}  # each leader's sets: of its class when they came, and others
-    last: dict[int, int] = {}
-    low = 0
-    for x in range(len(sets)):
-        while 100 * ns[low] < percent * ns[x]:
-            low += 1
-        best = None
-        rest: list[tuple[int, int, int]] = []
-        for p in leaders:
-            if 100 * ns[last[p]] < percent * ns[x]:
-                continue
-            far = ns[x] + ns[p] - 2 * len(members[x] & members[p])
-            limit = ns[x] + ns[p] - 2 * least_shared(ns[x], ns[p], percent)
-            if p >= low and far <= limit:
-                if forest.root(x) != forest.root(p):
-                    forest.join(x, p)
-                    yield x, p
-                if best is None or far < best[1]:
-                    best = (p, far)
-            joined, apart = near[p]
-            for y in apart if forest.root(x) == forest.root(p) else [*joined, *apart]:
-                if y >= low and y != p:
-                    most = ns[x] + ns[y] - 2 * least_shared(ns[x], ns[y], percent)
-                    d = centre[y][1]
-                    if abs(far - d) <= most:
-                        rest.append((far + d - most if far + d <= most else abs(far - d) + 1, y, most))
-        for bound, y, most in sorted(rest):
-            if forest.root(x) != forest.root(y) and (bound <= 0 or ns[x] + ns[y] - 2 * len(members[x] & members[y]) <= most):
-                forest.join(x, y)
-                yield x, y
-        if best is None:
-            leaders.append(x)
-            near[x] = ([], [])
-            best = (x, 0)
-        centre.append(best)
-        last[best[0]] = x
-        near[best[0]][forest.root(x) != forest.root(best[0])].append(x)
+    ns = np.array([len(s) for s in sets], np.int64)
+    shared = Shared(sets)
+    cls = np.arange(len(ns))
+    centre, away = np.zeros((2, len(ns)), np.int64)  # each set's leader, and how far it is from it
+    leads, last = np.zeros(len(ns), bool), np.zeros(len(ns), np.int64)
+    far = np.zeros(len(ns), np.int64)
+    lows = np.searchsorted(100 * ns, percent * ns)
+    for x in range(len(ns)):
+        low = int(lows[x])
+        near = np.flatnonzero(leads[:x] & (last[:x] >= low))
+        far[near] = ns[x] + ns[near] - 2 * shared.of(x, near)
+        limit = ns[x] + ns[low:x] - 2 * -(-percent * (ns[x] + ns[low:x]) // (100 + percent))  # as least_shared
+        close = near[near >= low]
+        close = close[far[close] <= limit[close - low]]
+        for p in close.tolist():
+            if cls[p] != cls[x]:
+                yield x, p
+                cls[cls == cls[p]] = cls[x]
+        d, e = far[centre[low:x]], away[low:x]
+        open_ = (cls[low:x] != cls[x]) & ~leads[low:x] & (np.abs(d - e) <= limit)
+        certain = low + np.flatnonzero(open_ & (d + e <= limit))
+        while len(certain):
+            y = certain[0]
+            yield x, int(y)
+            cls[cls == cls[y]] = cls[x]
+            certain = certain[cls[certain] != cls[x]]
+        rest = low + np.flatnonzero(open_ & (d + e > limit) & (cls[low:x] != cls[x]))
+        rest = rest[np.argsort(np.abs(d - e)[rest - low], kind="stable")]
+        size = 16
+        while len(rest):
+            now, rest = rest[:size], rest[size:]
+            for y in now[ns[x] + ns[now] - 2 * shared.of(x, now) <= limit[now - low]].tolist():
+                if cls[y] != cls[x]:
+                    yield x, y
+                    cls[cls == cls[y]] = cls[x]
+            rest, size = rest[cls[rest] != cls[x]], 2 * size
+        if len(close):
+            centre[x] = close[np.argmin(far[close])]
+            away[x] = far[centre[x]]
+        else:
+            centre[x], leads[x] = x, True
+        last[centre[x]] = x
 
 
 def coarse_links(heads: DataFrame, percent: int) -> DataFrame:
