@@ -16,6 +16,8 @@ LENGTH, GRAM = 200, 64
 PIECE = 1 << 20
 #: Contexts that one task scans as a group; larger groups are split by what their members share.
 GROUP = 10_000
+#: Contexts of a group nearer to each other than this are compared in pairs.
+NEAR = 128
 #: A gram is hot above so many places, and above this share of all; its places are then dealt to SALTS tasks.
 HOT, HOT_SHARE, SALTS = 10_000, 1e-5, 32
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -141,13 +143,72 @@ def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int) -> Itera
                 yield order[x : y + 1], left, right
 
 
-def covers(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[list[int], list[int]]:
-    """How far to the left and right of the anchor each member is covered by repeats; 0 and 0 if not."""
-    left, right = [0] * len(rights), [0] * len(rights)
-    for members, before, after in repeat_groups(rights, lefts, length):
-        for x in members:
-            left[x], right[x] = max(left[x], before), max(right[x], after)
-    return left, right
+class Strings:
+    """Strings as rows of 64-bit words, filled up with zeros."""
+
+    def __init__(self, strings: pa.Array) -> None:
+        strings = strings.cast(pa.binary())
+        ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+        self.size = np.diff(ends).astype(np.int64)
+        rows = np.zeros((len(strings), -(-max(1, int(self.size.max(initial=0))) // 8) * 8), np.uint8)
+        rows[np.arange(rows.shape[1]) < self.size[:, None]] = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.words = rows.view("<u8")
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many leading bytes pairs of strings share."""
+        differ = self.words[a] ^ self.words[b]
+        word = (differ != 0).argmax(axis=1)
+        at = differ[np.arange(len(a)), word]
+        zeros = np.bitwise_count((at & (~at + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
+        return np.minimum(np.where(at == 0, self.words.shape[1] * 8, word * 8 + zeros), np.minimum(self.size[a], self.size[b]))
+
+
+def covers(groups: np.ndarray, rights: pa.Array, lefts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far to the left and right of the anchor each member of each group is covered by repeats; 0 and 0 if not.
+
+    Members are in order of `rights` in their group. In the deepest interval of `repeat_groups` around two members, these
+    share as much as both do: so those near each other are looked at in pairs, all groups at once. Those that are NEAR
+    places apart or more meet in intervals of more than NEAR members, where the left context that shares most with a
+    member's stands next to it in order.
+    """
+    right, left = Strings(rights), Strings(lefts)
+    out = np.zeros((2, len(groups)), np.int64)
+    cuts = np.flatnonzero(np.diff(groups)) + 1
+    starts = np.concatenate([[0], cuts]).astype(np.int64)
+    most = np.repeat(np.maximum.reduceat(left.size, starts), np.diff(np.append(starts, len(groups)))) if len(groups) else left.size
+    rows = np.arange(max(0, len(groups) - 1))
+    common = right.shared(rows, rows + 1)
+    common[cuts - 1] = -1
+    common[common + most[:-1] < length] = -1  # no repeat goes over such neighbours
+
+    def cover(member: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+        found = before + after >= length
+        np.maximum.at(out[0], member[found], before[found])
+        np.maximum.at(out[1], member[found], after[found])
+
+    a, after = rows, common
+    for d in range(1, NEAR):
+        open_ = after >= 0
+        a, after = a[open_], after[open_]
+        before = left.shared(a, a + d)
+        cover(np.concatenate([a, a + d]), np.tile(before, 2), np.tile(after, 2))
+        inner = a + d < len(common)
+        a, after = a[inner], after[inner]
+        after = np.minimum(after, common[a + d])
+    bounds = np.concatenate([[-1], np.flatnonzero(common < 0), [len(common)]])
+    for i, j in zip((bounds[:-1] + 1).tolist(), bounds[1:].tolist()):
+        if j - i < NEAR:
+            continue
+        names = lefts.slice(i, j - i + 1).to_pylist()
+        order = np.array(sorted(range(len(names)), key=names.__getitem__))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        for after, x, y in intervals(common[i:j].tolist()):
+            if y - x >= NEAR and after >= 0:
+                members = i + order[np.sort(place[x : y + 1])]
+                before = left.shared(members[:-1], members[1:])
+                cover(members, np.maximum(np.append(before, 0), np.append(0, before)), np.full(len(members), after))
+    return out[0], out[1]
 
 
 def windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -175,15 +236,8 @@ def covers_in_tree(w: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, 1):
-            g = t.column("g").to_numpy()
-            rights, lefts = t.column("right").to_pylist(), t.column("left").to_pylist()
-            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
-            out_l, out_r = [], []
-            for a, b in zip(cuts, cuts[1:]):
-                left, right = covers(rights[a:b], lefts[a:b], length)
-                out_l += left
-                out_r += right
-            left, right = np.array(out_l, np.int32), np.array(out_r, np.int32)
+            left, right = covers(t.column("g").to_numpy(), *(t.column(k).combine_chunks() for k in ("right", "left")), length)
+            left, right = left.astype(np.int32), right.astype(np.int32)
             hit = right > 0
             yield pa.record_batch([pa.array(t.column("h").to_numpy()[hit]), pa.array(t.column("c").to_numpy()[hit]), pa.array(left[hit]), pa.array(right[hit])], names=["h", "c", "left", "right"])
 
