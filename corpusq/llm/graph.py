@@ -69,7 +69,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     of their components, so few rounds are left; their number grows with the logarithm of the longest path. Each round
     is a written table, in no more files than its edges need; neighbours are never gathered, only their minimum is.
     """
-    e = written(contracted(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")), "edges")
+    e = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"), "edges")
+    e = written(contracted(e), "edges")  # from its own table, as each Python step of a task has a worker
     cores = edges.sparkSession.sparkContext.defaultParallelism
     while not settled(e):
         files = max(cores, -(-2 * e.count() // EDGES))
